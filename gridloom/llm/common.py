@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch: at some 100 KB for the longest texts, a batch stays near 50 MB.
@@ -67,21 +66,6 @@ def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered for a bounded number of words."""
-
-    LIMIT = 1 << 19
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (the well-known murmur constants)."""
     x = x ^ (x >> np.uint64(33))
@@ -105,3 +89,61 @@ def windows(words: np.ndarray, k: int = 5) -> np.ndarray:
     for j in range(1, k):
         h = h * np.uint64(0x100000001B3) + words[j : j + n] * STEP[j % len(STEP)]
     return mix(h)
+
+
+_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Texts are hashed together up to so many bytes.
+CHUNK_BYTES = 4 << 20
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE**i and _BASE**-i modulo 2**64 for i < n."""
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for j, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POWERS[j] = np.cumprod(p, dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def prefix_hashes(buf: np.ndarray) -> np.ndarray:
+    """Running polynomial hash: (out[e] - out[s]) * _BASE**-s stands for bytes s to e, wherever they are."""
+    out = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * powers(len(buf))[0], out=out[1:])
+    return out
+
+
+class Words:
+    """The words of several texts: `hash` of each, `start` and `end` in the joined bytes, and `at[i]:at[i + 1]` those of text i."""
+
+    def __init__(self, texts: list[bytes], lower: bool = False):
+        joined = b"\n".join(texts) + b"\n"
+        self.joined = joined.lower() if lower else joined
+        self.buf = buf = np.frombuffer(self.joined, np.uint8)
+        white = _WHITE[buf]
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        if not white[0]:
+            edge = np.concatenate([[0], edge])
+        self.start, self.end = edge[0::2], edge[1::2]
+        acc = prefix_hashes(buf)
+        size = (self.end - self.start).astype(np.uint64)
+        self.hash = mix((acc[self.end] - acc[self.start]) * powers(len(buf))[1][self.start] + size * STEP[1])
+        self.text_start = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        self.at = np.searchsorted(self.start, self.text_start)
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK_BYTES."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > CHUNK_BYTES:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)

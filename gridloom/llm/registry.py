@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import pii
+from gridloom.llm import pii, quality_rules
 from gridloom.llm.common import table
 
 
@@ -12,8 +12,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_pii,)}
+    return {f.__name__: f for f in (op8_quality_rules, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
