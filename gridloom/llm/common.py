@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: they need not share the driver's folders."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.is_dir():
+        to = Path(tempfile.mkdtemp(prefix="gridloom-code-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(to))
+    _SHIPPED.add(app)
+
+
 def small_batches(spark: SparkSession) -> None:
+    """To be called by every operator that runs Python on the executors."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import pii, quality_rules
+from gridloom.llm import pii, quality_rules, warc
 from gridloom.llm.common import table
 
 
@@ -12,12 +12,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_quality_rules, op9_pii)}
+    return {f.__name__: f for f in (op7_warc, op8_quality_rules, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
