@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import pii, quality, quality_rules, toxicity, warc
+from gridloom.llm import html_text, pii, quality, quality_rules, toxicity, warc
 from gridloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
@@ -29,7 +33,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_quality, op5_toxicity, op7_warc, op8_quality_rules, op9_pii)}
+    return {f.__name__: f for f in (op4_quality, op5_toxicity, op6_html_text, op7_warc, op8_quality_rules, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
