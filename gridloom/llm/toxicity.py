@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches, small_batches
+from gridloom.llm.common import batches, discard, materialize, small_batches
 
 BUCKETS = 1 << 20
 PREFIX = 4
@@ -65,7 +65,7 @@ def ragged(lists: list) -> pa.Array:
 def _terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms()
     for b in batches(it):
-        yield pa.RecordBatch.from_pydict({"terms": ragged([terms.of(t) for t in b.column(0).to_pylist()]), "y": b.column(1)})
+        yield pa.RecordBatch.from_pydict({"h": b.column(0), "terms": ragged([terms.of(t) for t in b.column(1).to_pylist()]), "y": b.column(2)})
 
 
 @dataclass
@@ -86,26 +86,13 @@ class Machine:
         return out
 
 
-def _fit(lists: list[np.ndarray], y: np.ndarray) -> Machine:
-    empty = Machine(-20.0, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
+def _fit(index: np.ndarray, lists: list[np.ndarray], y: np.ndarray) -> Machine:
+    """index: the active buckets in order; lists: the places in it of each row's terms."""
     n, positive = len(y), float(y.sum())
-    if not n:
-        return empty
-    rate = positive / n
     if not 0 < positive < n:
-        empty.bias = 20.0 if rate else -20.0
-        return empty
-    flat, rows = np.concatenate(lists), np.repeat(np.arange(n), [len(x) for x in lists])
-    df, toxic = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, weights=y[rows], minlength=BUCKETS)
-    seen = np.flatnonzero(df >= 2)
-    expected = df[seen] * rate
-    z = (toxic[seen] - expected) / np.sqrt(expected * (1 - rate) + 0.5)
-    strong = np.argsort(-np.abs(z), kind="stable")[:ACTIVE]
-    strong = strong[np.abs(z[strong]) >= SCREEN]
-    index = np.sort(seen[strong])
-    at = np.searchsorted(index, flat)
-    hit = (at < len(index)) & (index[np.minimum(at, len(index) - 1)] == flat) if len(index) else np.zeros(len(flat), bool)
-    at, rows = at[hit], rows[hit]
+        return Machine(20.0 if positive else -20.0, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
+    rate = positive / n
+    at, rows = np.concatenate(lists), np.repeat(np.arange(n), [len(x) for x in lists])
     rng = np.random.Generator(np.random.PCG64(5))
     m = Machine(float(np.log(rate / (1 - rate))), index, np.zeros(len(index)), rng.normal(0, 0.01, (len(index), FACTORS)))
     edges = np.searchsorted(rows, np.arange(n + 1))
@@ -147,10 +134,23 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Machine:
     h = F.xxhash64("doc_id")
     # The bound is set on ids, before any text is read.
     chosen = known.where("y > 0.5").orderBy(h, "doc_id").limit(TRAIN_ROWS).unionByName(known.where("y <= 0.5").orderBy(h, "doc_id").limit(TRAIN_ROWS))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")  # at most 2 * TRAIN_ROWS rows of two numbers
-    got = rows.mapInArrow(_terms, "terms array<int>, y double").toPandas()
-    order = sorted(range(len(got)), key=lambda i: (got.y[i], len(got.terms[i]), tuple(got.terms[i][:50])))
-    return _fit([np.asarray(got.terms[i], np.int64) for i in order], np.array([got.y[i] for i in order], float))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(h.alias("h"), "text", "y")  # at most 2 * TRAIN_ROWS rows of two numbers
+    sample = materialize(rows.mapInArrow(_terms, "h long, terms array<int>, y double"))
+    size = sample.agg(F.count("y").alias("n"), F.sum("y").alias("positive")).first()
+    rate = F.lit((size.positive or 0.0) / max(size.n, 1))
+    seen = sample.select(F.explode("terms").alias("t"), "y").groupBy("t").agg(F.count("y").alias("df"), F.sum("y").alias("toxic"))
+    z = F.abs((F.col("toxic") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate) + 0.5))
+    strong = seen.where((F.col("df") >= 2) & (z >= SCREEN)).orderBy(z.desc(), "t").limit(ACTIVE).select("t").collect()
+    index = np.array(sorted(r.t for r in strong), np.int32)
+
+    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            out = [np.searchsorted(index, x[np.isin(x, index)]).astype(np.int32).tobytes() for x in (np.array(t, np.int32) for t in b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_pydict({"h": b.column(0), "at": pa.array(out, pa.binary()), "y": b.column(2)})
+
+    got = sorted((r.h, bytes(r["at"]), r.y) for r in sample.mapInArrow(places, "h long, at binary, y double").collect())
+    discard(sample)
+    return _fit(index, [np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for *_, y in got], float))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
