@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import html_text, packing, pii, quality, quality_rules, toxicity, warc
+from gridloom.llm import html_text, near_dedup, packing, pii, quality, quality_rules, toxicity, warc
 from gridloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=4096, end_id=1, tokenizer="word_bpe_49k.json")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +41,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op4_quality, op5_toxicity, op6_html_text, op7_warc, op8_quality_rules, op9_pii)}
+    return {f.__name__: f for f in (op1_packing, op3_near_dedup, op4_quality, op5_toxicity, op6_html_text, op7_warc, op8_quality_rules, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
