@@ -8,8 +8,8 @@ Scripts, styles, comments and markup never reach a line.
 Differencing sorts pages by host and URL path (a range partitioning, so that a host with
 a third of all pages spreads over many tasks), pairs each page with the nearest pages
 around it, aligns their lines by longest common subsequence and deletes what they share.
-Lines of an article element are kept: two pages may well quote the same paragraph, or be
-copies of each other. A neighbour that shares most of a page's open text is a copy and
+Lines of an article element are kept, and settle the page: two pages may well quote the same
+paragraph, or be copies of each other. A neighbour that shares most of a page's open text is a copy and
 says nothing about the frame, so the next one is asked.
 
 Defined results: null html gives an empty text; a null url counts as the empty host and
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,42 +222,41 @@ def _place(url: str | None) -> tuple[str, str]:
     return host, re.sub(r"\d+", lambda x: x[0].lstrip("0").zfill(12), path.rstrip("/"))
 
 
+def _line_id(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) >> 1
+
+
 def _parsed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A page's text where its article is marked, else its open lines; and what all its lines are told by."""
     for b in batches(it):
         places = [_place(u) for u in b.column(1).to_pylist()]
-        lines = [parse(h or "") for h in b.column(2).to_pylist()]
+        pages = [parse(h or "") for h in b.column(2).to_pylist()]
+        settled = [any(k == ARTICLE for _, k in x) for x in pages]
         yield pa.RecordBatch.from_pydict({
             "page_id": b.column(0), "url": b.column(1), "host": pa.array([h for h, _ in places], pa.string()), "path": pa.array([p for _, p in places], pa.string()),
-            "lines": pa.array([[t for t, _ in x] for x in lines], pa.list_(pa.string())), "marks": pa.array([bytes(k for _, k in x) for x in lines], pa.binary()),
+            "text": pa.array(["\n".join(t for t, k in x if k == ARTICLE) if s else None for x, s in zip(pages, settled, strict=True)], pa.string()),
+            "open": pa.array([None if s else [t for t, k in x if k == OPEN] for x, s in zip(pages, settled, strict=True)], pa.list_(pa.string())),
+            "lines": pa.array([[_line_id(t) for t, _ in x] for x in pages], pa.list_(pa.int64())), "marks": pa.array([bytes(k for _, k in x) for x in pages], pa.binary()),
         })
 
 
 def _shared(page: dict, others: list[dict]) -> np.ndarray:
     """Open lines of the page that its nearest neighbour which is no copy has too."""
-    size = np.array([len(x) for x in page["lines"]])
     unsure = np.frombuffer(page["marks"], np.uint8) == OPEN
-    total = size[unsure].sum()
-    none = np.zeros(len(size), bool)
-    if not total:
-        return none
-    ids: dict[str, int] = {}
-    own = [ids.setdefault(x, len(ids)) for x in page["lines"]]
-    for other in others:
+    size = np.zeros(len(unsure), np.int64)
+    size[unsure] = [len(x) for x in page["open"]]
+    total = size.sum()
+    for other in others if total else ():
         if other["host"] != page["host"]:
             continue
-        both = common(own, [ids.get(x, -1) for x in other["lines"]]) & unsure
+        both = common(page["lines"], other["lines"]) & unsure
         if size[both].sum() <= COPY * total:
-            return both
-    return none
+            return both[unsure]
+    return np.zeros(len(page["open"]), bool)
 
 
 def main_text(page: dict, others: list[dict]) -> str:
-    marks = np.frombuffer(page["marks"], np.uint8)
-    if (marks == ARTICLE).any():
-        keep = marks == ARTICLE
-    else:
-        keep = (marks == OPEN) & ~_shared(page, others)
-    return "\n".join(x for x, k in zip(page["lines"], keep, strict=True) if k)
+    return "\n".join(x for x, gone in zip(page["open"], _shared(page, others), strict=True) if not gone)
 
 
 def _differenced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,12 +272,19 @@ def _differenced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, rows, held = 0, [], 0
 
     def one() -> None:
-        nonlocal at, held
+        nonlocal held
         page = window[at]
+        if page["open"] is None:  # settled; here for its neighbours
+            step()
+            return
         order = [k for d in range(1, NEIGHBOURS + 1) for k in (at - d, at + d) if 0 <= k < len(window)]
         text = main_text(page, [window[k] for k in order])
         rows.append((page["page_id"], page["url"], text))
         held += len(text)
+        step()
+
+    def step() -> None:
+        nonlocal at
         at += 1
         if at > NEIGHBOURS:
             del window[0]
@@ -300,7 +307,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page (page_id, url, html)."""
     spark = pages.sparkSession
     small_batches(spark)
-    parsed = materialize(pages.select("page_id", "url", "html").mapInArrow(_parsed, "page_id long, url string, host string, path string, lines array<string>, marks binary"))
+    parsed = materialize(pages.select("page_id", "url", "html").mapInArrow(_parsed, "page_id long, url string, host string, path string, text string, open array<string>, lines array<long>, marks binary"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = parsed.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return placed.mapInArrow(_differenced, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    # Settled pages stay where they are; only what tells their lines travels.
+    placed = parsed.select("page_id", F.when(F.col("open").isNotNull(), F.col("url")).alias("url"), "host", "path", "open", "lines", "marks")
+    placed = placed.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    texts = parsed.where("open is null").select("page_id", "url", "text").unionByName(placed.mapInArrow(_differenced, "page_id long, url string, text string"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
