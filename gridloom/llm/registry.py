@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import html_text, near_dedup, packing, pii, quality, quality_rules, toxicity, warc
+from gridloom.llm import html_text, near_dedup, packing, pii, quality, quality_rules, substring_dedup, toxicity, warc
 from gridloom.llm.common import table
 
 
@@ -40,8 +40,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_near_dedup, op4_quality, op5_toxicity, op6_html_text, op7_warc, op8_quality_rules, op9_pii)}
+    return {f.__name__: f for f in (op1_packing, op3_near_dedup, op4_quality, op5_toxicity, op6_html_text, op7_warc, op8_quality_rules, op9_pii, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
