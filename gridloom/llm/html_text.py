@@ -52,6 +52,8 @@ SPACE = re.compile(r"\s+")
 OPEN, ARTICLE, BOILERPLATE = 0, 1, 2
 #: Pages asked on either side.
 NEIGHBOURS = 3
+#: Pages in a range; those at its ends find neighbours on one side only.
+PAGES_A_TASK = 2000
 #: A neighbour sharing more of a page's open text than this is a copy.
 COPY = 0.8
 
@@ -308,7 +310,7 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     parsed = materialize(pages.select("page_id", "url", "html").mapInArrow(_parsed, "page_id long, url string, host string, path string, text string, open array<string>, lines array<long>, marks binary"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-parsed.count() // PAGES_A_TASK))
     # Settled pages stay where they are; only what tells their lines travels.
     placed = parsed.select("page_id", F.when(F.col("open").isNotNull(), F.col("url")).alias("url"), "host", "path", "open", "lines", "marks")
     placed = placed.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
