@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import html_text, near_dedup, packing, pii, quality, quality_rules, substring_dedup, toxicity, warc
+from gridloom.llm import decontaminate, html_text, near_dedup, packing, pii, quality, quality_rules, substring_dedup, toxicity, warc
 from gridloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=4096, end_id=1, tokenizer="word_bpe_49k.json")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_near_dedup, op4_quality, op5_toxicity, op6_html_text, op7_warc, op8_quality_rules, op9_pii, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_near_dedup, op4_quality, op5_toxicity, op6_html_text, op7_warc, op8_quality_rules, op9_pii, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
