@@ -2,12 +2,13 @@
 
 1. Document frequencies of hashed terms, counted over all documents, give TF-IDF weights.
 2. Every text is read as passages of 2 * BLOCK words, half overlapping. A randomised SVD of
-   all passages - those of the benchmark weighted up, so that its vocabulary is not drowned -
-   is made in one distributed pass: tasks add up A'(A W) for a Gaussian W over the terms of
+   the passages of FIT_DOCUMENTS documents and of the benchmark - weighted up, so that its
+   vocabulary is not drowned - is made in one distributed pass: tasks add up A'(A W) for a Gaussian W over the terms of
    the benchmark, the sums meet in a tree, and the small factors (Nystroem form) are solved
    on the driver. Their size depends on the benchmark and RANK, not on the corpus.
-3. Passages and items meet in the latent space; pairs of cosine COSINE or more are candidates.
-   The passage's norm counts all its terms, also those that no item has.
+3. All passages and items meet in the latent space; pairs of cosine COSINE or more of which the
+   passage holds enough of the item are candidates. The passage's norm counts all its terms,
+   also those that no item has.
 4. A candidate is a leak if the longest common subsequence of item and passage, weighted by
    rarity, holds VERBATIM of the item; or PARAPHRASE of it when the answer check agrees too:
    ANSWER of the item's rarest quarter of words stand in the passage.
@@ -32,9 +33,15 @@ from gridloom.llm.common import Words, batches, chunks, raw, small_batches
 
 BUCKETS_LOG2 = 18
 BLOCK = 24
-RANK = 192
+RANK = 256
 OVERSAMPLE = 16
-COSINE = 0.35
+#: Terms of more than this share of all items weigh nothing in the search.
+COMMON = 0.05
+#: The bound of the documents that the basis is fitted on, chosen by a hash of the id. Every document is searched.
+FIT_DOCUMENTS = 20_000
+#: A candidate: cosine, and the share of the item's squared weight that the passage holds.
+COSINE = 0.2
+HELD = 0.3
 VERBATIM = 0.75
 PARAPHRASE = 0.5
 ANSWER = 0.6
@@ -47,11 +54,15 @@ TOKENS = 1 << 15
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
 
 
+def fold(text: bytes) -> bytes:
+    return (text if text.isascii() else text.decode("utf-8", "replace").lower().encode()).translate(_FOLD)
+
+
 class Passages:
     """Words of several texts and the blocks of BLOCK words they fall into; a passage is two blocks of one text."""
 
     def __init__(self, texts: list[bytes]):
-        words = Words([t.translate(_FOLD) for t in texts])
+        words = Words([fold(t) for t in texts])
         self.hash, self.at = words.hash, words.at
         self.term = (self.hash >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
         n = np.diff(self.at)
@@ -125,34 +136,44 @@ class Retrieval:
 
     def __init__(self, idf: np.ndarray, items: list[tuple[int, bytes]]):
         self.idf = idf.astype(np.float32)
-        self.items = [(i, t) for i, t in items if t.translate(_FOLD).split()]
+        self.items = [(i, t) for i, t in items if fold(t).split()]
         self.ids = np.array([i for i, _ in self.items], np.int64)
         p = self.passages = Passages([t for _, t in self.items])
         self.words = [p.hash[a:b] for a, b in zip(p.at[:-1], p.at[1:], strict=True)]
         self.weights = [self.idf[p.term[a:b]] for a, b in zip(p.at[:-1], p.at[1:], strict=True)]
-        self.vocabulary = np.unique(p.term)
+        # Terms of many items tell no item from another and weigh nothing in the search; the checks count them.
+        of_items = np.bincount(np.unique(p.text << BUCKETS_LOG2 | p.term) & (len(idf) - 1), minlength=len(idf))
+        often = of_items > max(2, COMMON * len(self.items))
+        few = np.bincount(p.text, weights=~often[p.term], minlength=len(self.items)) < 4
+        often[np.unique(p.term[few[p.text]])] = False
+        self.weight = np.where(often, 0, self.idf).astype(np.float32)
+        self.vocabulary = np.unique(p.term[~often[p.term]])
         self.place = np.full(1 << BUCKETS_LOG2, -1, np.int32)
         self.place[self.vocabulary] = np.arange(len(self.vocabulary))
         self.basis: np.ndarray | None = None
 
-    def projected(self, p: Passages, basis: np.ndarray) -> np.ndarray:
-        """Latent coordinates of each passage: the sum of its weighted terms' rows."""
+    def projected(self, p: Passages, basis: np.ndarray, alive: np.ndarray | None = None) -> np.ndarray:
+        """Latent coordinates of each passage: the sum of its weighted terms' rows. alive: the blocks that matter."""
+        basis = basis * self.weight[self.vocabulary][:, None]
         out = np.zeros((p.n_blocks, basis.shape[1]), np.float32)
         b = 0
         while b < p.n_blocks:
             e = max(b + 1, int(np.searchsorted(p.block_start, p.block_start[b] + TOKENS, "right")) - 1)
             term = p.term[p.block_start[b] : p.block_start[e]]
             row = self.place[term]
-            known = np.flatnonzero(row >= 0)
+            known = row >= 0
+            if alive is not None:
+                known &= alive[p.block[p.block_start[b] : p.block_start[e]]]
+            known = np.flatnonzero(known)
             if len(known):
                 block = p.block[p.block_start[b] : p.block_start[e]][known]
                 new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                out[block[new]] = np.add.reduceat(basis[row[known]] * self.idf[term[known]][:, None], new)
+                out[block[new]] = np.add.reduceat(basis[row[known]], new)
             b = e
         return p.of_passages(out)
 
     def norms(self, p: Passages) -> np.ndarray:
-        return np.sqrt(np.maximum(p.sums(self.idf[p.term] ** 2, p.block), 1e-12))
+        return np.sqrt(np.maximum(p.sums(self.weight[p.term] ** 2, p.block), 1e-12))
 
     def gram(self, p: Passages, omega: np.ndarray, total: np.ndarray, weight: float = 1.0) -> None:
         """total += A'(A omega) over unit passages, terms of the benchmark only."""
@@ -169,7 +190,7 @@ class Retrieval:
             own = known[a : a + TOKENS]
             r = row[own]
             new = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            total[r[new]] += np.add.reduceat(by_block[p.block[own]] * self.idf[p.term[own]][:, None], new)
+            total[r[new]] += np.add.reduceat(by_block[p.block[own]] * self.weight[p.term[own]][:, None], new)
 
     def solve(self, y: np.ndarray, omega: np.ndarray) -> None:
         """Right singular vectors from one pass: C ~ Y (W'Y)^-1 Y'."""
@@ -182,15 +203,28 @@ class Retrieval:
         u, s, _ = np.linalg.svd((y @ vectors[:, good]) / np.sqrt(values[good]), full_matrices=False)
         self.singular = np.sqrt(np.maximum(s**2 - shift, 0))[:RANK]
         self.basis = np.ascontiguousarray(u[:, :RANK], np.float32)
-        self.item_rows = self.projected(self.passages, self.basis) / self.norms(self.passages)[:, None]
+        self.item_norms = self.norms(self.passages)
+        self.item_rows = self.projected(self.passages, self.basis) / self.item_norms[:, None]
+        pairs, n = np.unique(self.passages.text << BUCKETS_LOG2 | self.passages.term, return_counts=True)
+        self.most = np.zeros(len(self.weight), np.float32)  # what one occurrence of a term can add to a product with an item
+        np.maximum.at(self.most, pairs & (len(self.weight) - 1), n)
+        self.most *= self.weight**2
         self.item_of = self.passages.block_text[self.passages.passage]
 
     def leaks(self, texts: list[bytes]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item, cosine, share of the common subsequence, share of the answer words)."""
         p = Passages(texts)
-        rows = self.projected(p, self.basis)
+        # A passage whose known terms together weigh less than any item needs cannot be a candidate.
+        mass = p.sums(self.most[p.term], p.block)
+        passing = np.flatnonzero(mass >= HELD * self.item_norms.min() ** 2)
+        if not len(passing):
+            return
+        alive = np.zeros(p.n_blocks, bool)
+        alive[p.passage[passing]] = alive[p.pair[passing]] = True
+        rows = self.projected(p, self.basis, alive)
         cosine = rows @ self.item_rows.T / self.norms(p)[:, None]
-        which, item = np.nonzero(cosine >= COSINE)
+        held = cosine * (self.norms(p)[:, None] / self.item_norms)
+        which, item = np.nonzero((cosine >= COSINE) & (held >= HELD))
         best: dict[tuple[int, int], tuple] = {}
         for w, k in zip(which.tolist(), item.tolist(), strict=True):
             text, i = int(p.block_text[p.passage[w]]), int(self.item_of[k])
@@ -209,6 +243,8 @@ class Retrieval:
         words, weights = self.words[item], self.weights[item]
         row = np.zeros(len(passage) + 1)
         present = np.isin(words, passage)
+        if weights[present].sum() < PARAPHRASE * weights.sum():
+            return 0.0, 0.0
         for w, x in zip(words[present], weights[present], strict=True):
             step = np.maximum(row[1:], row[:-1] + x * (passage == w))
             row[1:] = np.maximum.accumulate(step)
@@ -243,7 +279,12 @@ def retrieval(docs: DataFrame, benchmark: DataFrame) -> Retrieval | None:
                 n += len(p.passage)
         yield _one(np.concatenate([total.ravel(), [n]]))
 
-    sums = tree_sum(texts.mapInArrow(sketched, "k int, sums binary"), tasks)
+    # A bounded sample, the same whatever the partitions: ids whose hash falls under the share that gives FIT_DOCUMENTS.
+    n_docs = int(counted[-1])
+    share = docs.select("doc_id", "text").where("text is not null")
+    if n_docs > FIT_DOCUMENTS:
+        share = share.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * FIT_DOCUMENTS / n_docs)))
+    sums = tree_sum(share.select("text").mapInArrow(sketched, "k int, sums binary"), tasks)
     total = sums[:-1].reshape(omega.shape).astype(np.float32)
     # The benchmark's own passages weigh as much as the corpus together.
     r.gram(r.passages, omega, total, weight=max(1.0, float(sums[-1]) / max(1, len(r.passages.passage))))
