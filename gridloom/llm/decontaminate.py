@@ -311,3 +311,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     found = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("common").alias("common"), F.max("answer").alias("answer"))
+
+
+def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that leak no item."""
+    r = retrieval(docs, benchmark)
+    if r is None:
+        return docs
+    shared, at = docs.sparkSession.sparkContext.broadcast(r), docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            texts, clean = raw(b.column(at)), np.ones(b.num_rows, bool)
+            for a, z in chunks(texts):
+                clean[[a + t for t, *_ in shared.value.leaks(texts[a:z])]] = False
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -241,3 +241,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = sketched.select("doc_id", "n_shingles", "digest")
     out = rows.join(named.hint("merge"), "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component; one for an id. Rows with null ids stay."""
+    ids = dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

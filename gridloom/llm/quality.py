@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, batches, chunks, materialize, raw, small_batches, windows
+from gridloom.llm.common import Words, batches, chunks, discard, materialize, raw, small_batches, windows
 
 DIM = 256
 #: Kernel width in units of the square root of the number of statistics.
@@ -211,6 +211,20 @@ def score(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     return x.mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are predicted good. labels: doc_id, quality."""
+    x = materialize(features(docs))
+    model = fit(x, labels.select("doc_id", F.col("quality").alias("y")), ~held_out())
+    discard(x)
+    at = docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            yield b.filter(pa.array(model.score(statistics(raw(b.column(at)))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
