@@ -197,7 +197,8 @@ def plan(runs: DataFrame, capacity: int) -> DataFrame:
             tasks = 1 + sum(r.runs for r in rest if r.kind != _PLACED) // RUNS_A_TASK
         else:
             tasks //= 2
-        new = materialize(active.repartitionByRange(tasks, "size", "first").mapInPandas(_round, _STATE))
+        ranged = active.repartitionByRange(tasks, "size", "first") if tasks > 1 else active.coalesce(1)
+        new = materialize(ranged.mapInPandas(_round, _STATE))
         done.append(materialize(new.where(F.col("kind") == _PLACED)))
         discard(state)
         state = new
