@@ -2,10 +2,495 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import curves
+from gridloom.functions import geometry as G
+from gridloom.operators import batch, clean, datagen, delta, keyed, layout
+from gridloom.operators.pointset import Box, PointSet
+from gridloom.plans.fixtures import view, with_views
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+BOX = Box((0, 0), (1499, 100_000))
+DOT = Box((370, 172_799), (370, 172_799))
+XY = ("x", "y")
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a function under its name; sql is the DuckDB twin over the views."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def _p2(spark, d):
+    return PointSet.build(view(spark, d, "p2"), XY, "id", check=False)
+
+
+def _b2(spark, d):
+    return PointSet.build(view(spark, d, "b2"), XY, check=False)
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return df.groupBy(*XY).agg(F.count(F.lit(1)).alias("n"))
+
+
+_IN = "x BETWEEN 0 AND 1499 AND y BETWEEN 0 AND 100000"
+
+
+# Range operators
+
+
+@query(f"SELECT count(*) AS n FROM p2 WHERE {_IN}", "p2")
+def range_count(spark, d):
+    return _p2(spark, d).range_count(BOX)
+
+
+@query("SELECT count(*) AS n FROM p2 WHERE x BETWEEN 150 AND 50", "p2")
+def range_count_inverted(spark, d):
+    return _p2(spark, d).range_count(Box((150, 0), (50, 10**6)))
+
+
+@query("SELECT count(*) AS n FROM p2 WHERE x = 370 AND y = 172799", "p2")
+def range_count_dot(spark, d):
+    return _p2(spark, d).range_count(DOT)
+
+
+@query(f"SELECT id, x, y FROM p2 WHERE {_IN}", "p2")
+def range_query(spark, d):
+    return _p2(spark, d).range_query(BOX)
+
+
+@query("SELECT id, x, y, z FROM p3 WHERE x BETWEEN 10 AND 400 AND y BETWEEN 0 AND 5000 AND z BETWEEN 100 AND 600", "p3")
+def range_query_3d(spark, d):
+    return PointSet.build(view(spark, d, "p3"), ("x", "y", "z"), "id", check=False).range_query(Box((10, 0, 100), (400, 5000, 600)))
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT * FROM p2 WHERE {_IN} LIMIT 100)", "p2")
+def truncate_limit(spark, d):
+    return _p2(spark, d).range_query(BOX, limit=100).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n FROM p2 WHERE (x - 700) * (x - 700) + (y - 90000) * (y - 90000) <= 30000 * 30000", "p2")
+def radius_count(spark, d):
+    return _p2(spark, d).radius_count((700, 90_000), 30_000)
+
+
+@query("SELECT count(*) AS n FROM b2 WHERE x = 1 AND y = 1", "b2")
+def point_count(spark, d):
+    return _b2(spark, d).count((1, 1))
+
+
+@query("SELECT count(*) > 0 AS found FROM b2 WHERE x = 1 AND y = 1", "b2")
+def point_contains(spark, d):
+    return _b2(spark, d).contains((1, 1))
+
+
+@query("SELECT qid, count(b2.x) AS n FROM q2 LEFT JOIN b2 ON b2.x = q2.x AND b2.y = q2.y GROUP BY qid", "b2", "q2")
+def batch_point_count(spark, d):
+    return _b2(spark, d).count_each(view(spark, d, "q2")).select("qid", "n")
+
+
+_INSIDE = "p2.x BETWEEN box2.lo_x AND box2.hi_x AND p2.y BETWEEN box2.lo_y AND box2.hi_y"
+
+
+@query(f"SELECT qid, count(p2.id) AS n FROM box2 LEFT JOIN p2 ON {_INSIDE} GROUP BY qid", "p2", "box2")
+def batch_range_count(spark, d):
+    return batch.range_count(_p2(spark, d), view(spark, d, "box2"))
+
+
+@query(f"SELECT qid, id, p2.x, p2.y FROM box2 JOIN p2 ON {_INSIDE}", "p2", "box2")
+def batch_range_query(spark, d):
+    return batch.range_query(_p2(spark, d), view(spark, d, "box2"))
+
+
+@query(f"SELECT count(*) AS n FROM p2 WHERE {_IN}", "p2")
+def range_count_by_cells(spark, d):
+    p = _p2(spark, d)
+    return layout.range_count(p, layout.cell_summary(p.df, XY, 2000), 2000, BOX)
+
+
+# Nearest neighbours
+
+_D2 = "(p2.x - q2.x) * (p2.x - q2.x) + (p2.y - q2.y) * (p2.y - q2.y)"
+_NEAR = f"SELECT q2.qid, p2.id, p2.x, p2.y, {_D2} AS d2, row_number() OVER (PARTITION BY q2.qid ORDER BY {_D2}, p2.id) AS rank FROM q2 CROSS JOIN p2 QUALIFY rank <= 10"
+
+
+@query("SELECT id, x, y, (x - 700) * (x - 700) + (y - 90000) * (y - 90000) AS d2 FROM p2 ORDER BY d2, id LIMIT 10", "p2")
+def knn_single(spark, d):
+    return _p2(spark, d).knn((700, 90_000), 10)
+
+
+@query("SELECT id, x, y, x * x + y * y AS d2 FROM c2 ORDER BY d2, id", "c2")
+def knn_k_exceeds_n(spark, d):
+    return PointSet.build(view(spark, d, "c2"), XY, "id", check=False).knn((0, 0), 10**6)
+
+
+@query("SELECT max(d2) AS d2 FROM (SELECT (x - 700) * (x - 700) + (y - 90000) * (y - 90000) AS d2 FROM p2 ORDER BY d2 LIMIT 32)", "p2")
+def knn_kth_distance(spark, d):
+    return _p2(spark, d).knn_distance((700, 90_000), 32)
+
+
+@query(_NEAR, "p2", "q2")
+def batch_knn(spark, d):
+    return batch.knn(_p2(spark, d), view(spark, d, "q2"), 10)
+
+
+@query(_NEAR, "p2", "q2")
+def batch_knn_naive(spark, d):
+    return batch.knn_naive(_p2(spark, d), view(spark, d, "q2"), 10)
+
+
+@query(f"SELECT qid, max(d2) AS d2 FROM ({_NEAR}) GROUP BY qid", "p2", "q2")
+def batch_knn_distance(spark, d):
+    return batch.knn_distances(_p2(spark, d), view(spark, d, "q2"), 10)
+
+
+@query("SELECT qid, id FROM (SELECT b.id AS qid, a.id, row_number() OVER (PARTITION BY b.id ORDER BY list_sum(list_transform(list_zip(a.v, b.v), lambda t: (CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE)) * (CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE)))), a.id) AS rank FROM e64 a CROSS JOIN e64 b WHERE b.id < 20) WHERE rank <= 5", "e64")
+def knn_vectors(spark, d):
+    v = view(spark, d, "e64")
+    return batch.vector_knn(v, v.where("id < 20").withColumnRenamed("id", "qid"), 5).select("qid", "id")
+
+
+# Updates
+
+
+@query("SELECT x, y, count(*) AS n FROM (SELECT * FROM b2 UNION ALL SELECT * FROM del2) GROUP BY x, y", "b2", "del2")
+def insert(spark, d):
+    return _counted(_b2(spark, d).insert(view(spark, d, "del2")).flatten())
+
+
+@query("SELECT x, y, count(*) AS n FROM (SELECT * FROM b2 EXCEPT ALL SELECT * FROM del2) GROUP BY x, y", "b2", "del2")
+def delete(spark, d):
+    return _counted(_b2(spark, d).delete(view(spark, d, "del2")).flatten())
+
+
+@query("SELECT x, y, count(*) AS n FROM (SELECT * FROM b2 EXCEPT ALL (SELECT * FROM del2 UNION ALL SELECT x + 1000000, y FROM del2)) GROUP BY x, y", "b2", "del2")
+def diff(spark, d):
+    gone = view(spark, d, "del2")
+    return _counted(_b2(spark, d).diff(gone.unionByName(gone.withColumn("x", F.col("x") + 1_000_000))).flatten())
+
+
+@query("SELECT x, y, count(*) AS n FROM (SELECT * FROM b2 EXCEPT ALL SELECT 1, 1) GROUP BY x, y", "b2")
+def erase(spark, d):
+    return _counted(_b2(spark, d).erase(1, 1)[0].flatten())
+
+
+@query("SELECT * FROM p2 WHERE id % 5 <> 0", "p2")
+def keyed_delete(spark, d):
+    p = _p2(spark, d)
+    return p.delete(p.df.where("id % 5 = 0")).flatten()
+
+
+@query("SELECT * FROM snap_b UNION ALL SELECT * FROM snap_a WHERE id NOT IN (SELECT id FROM snap_b)", "snap_a", "snap_b")
+def keyed_union(spark, d):
+    return keyed.union(view(spark, d, "snap_a"), view(spark, d, "snap_b"), ["id"])
+
+
+@query("SELECT * FROM snap_b WHERE id IN (SELECT id FROM snap_a)", "snap_a", "snap_b")
+def keyed_intersect(spark, d):
+    return keyed.intersect(view(spark, d, "snap_a"), view(spark, d, "snap_b"), ["id"])
+
+
+@query("SELECT a.id, a.x + b.x AS x, a.y + b.y AS y FROM snap_a a JOIN snap_b b ON a.id = b.id", "snap_a", "snap_b")
+def keyed_intersect_combine(spark, d):
+    return keyed.intersect(view(spark, d, "snap_a"), view(spark, d, "snap_b"), ["id"], lambda a, b: a + b)
+
+
+@query("SELECT * FROM snap_a WHERE id NOT IN (SELECT id FROM snap_b)", "snap_a", "snap_b")
+def keyed_difference(spark, d):
+    return keyed.difference(view(spark, d, "snap_a"), view(spark, d, "snap_b"), ["id"])
+
+
+@query("SELECT * FROM p2 WHERE x > 100 AND x < 300 OR x = 100 AND id >= 50 OR x = 300 AND id <= 7000", "p2")
+def key_range(spark, d):
+    return keyed.key_range(view(spark, d, "p2"), ["x", "id"], (100, 50), (300, 7000))
+
+
+@query("SELECT count(*) AS n FROM p2 WHERE x < 300 OR x = 300 AND id < 7000", "p2")
+def rank(spark, d):
+    return keyed.rank(view(spark, d, "p2"), ["x", "id"], (300, 7000))
+
+
+@query("SELECT * FROM p2 ORDER BY x, id LIMIT 1 OFFSET 123", "p2")
+def select_rank(spark, d):
+    return keyed.select(view(spark, d, "p2"), ["x", "id"], 123)
+
+
+@query("SELECT id, x, y, row_number() OVER (ORDER BY x, id) - 1 AS rank FROM p2", "p2")
+def ranked(spark, d):
+    return keyed.ranked(view(spark, d, "p2"), ["x", "id"])
+
+
+@query("SELECT id, sum(x)::BIGINT AS x, max(y) AS y FROM (SELECT * FROM snap_a UNION ALL SELECT * FROM snap_b) GROUP BY id", "snap_a", "snap_b")
+def insert_combine(spark, d):
+    return keyed.insert_combine(view(spark, d, "snap_a"), view(spark, d, "snap_b"), ["id"], x=F.sum, y=F.max)
+
+
+@query("SELECT * FROM snap_a WHERE id NOT IN (SELECT id FROM snap_b) UNION ALL SELECT id, sum(x)::BIGINT AS x, min(y) AS y FROM (SELECT * FROM snap_b UNION ALL SELECT * FROM snap_b) GROUP BY id", "snap_a", "snap_b")
+def insert_reduce(spark, d):
+    b = view(spark, d, "snap_b")
+    return keyed.insert_reduce(view(spark, d, "snap_a"), b.unionByName(b), ["id"], x=F.sum, y=F.min)
+
+
+@query("SELECT min(y) AS lo_y, max(y) AS hi_y, count(*) AS n FROM p2 WHERE id BETWEEN 1000 AND 5000", "p2")
+def aggregate_range(spark, d):
+    return keyed.aggregate_range(view(spark, d, "p2"), ["id"], (1000,), (5000,), lo_y=F.min("y"), hi_y=F.max("y"), n=F.count(F.lit(1)))
+
+
+@query("SELECT id, x, y, running FROM (SELECT *, (sum(x) OVER (ORDER BY id))::BIGINT AS running FROM p2) WHERE running > 100000 ORDER BY id LIMIT 1", "p2")
+def aggregate_select(spark, d):
+    return keyed.aggregate_select(view(spark, d, "p2"), ["id"], "x", 100_000)
+
+
+@query("SELECT min(id) AS at FROM (SELECT id, x, lag(x) OVER (ORDER BY id) AS before, lag(id) OVER (ORDER BY id) AS before_id FROM p2) WHERE x < before AND id = before_id + 1", "p2")
+def first_unsorted(spark, d):
+    return keyed.first_unsorted(view(spark, d, "p2"), "id", "x")
+
+
+# Aggregates and cells
+
+
+@query("SELECT count(*) AS n FROM b2", "b2")
+def size(spark, d):
+    return _b2(spark, d).size()
+
+
+@query("SELECT min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, count(*) AS n FROM p2", "p2")
+def bounds(spark, d):
+    return _p2(spark, d).bounds()
+
+
+@query("SELECT g, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, count(*) AS n FROM (SELECT *, id % 7 AS g FROM p2) GROUP BY g", "p2")
+def bounds_per_group(spark, d):
+    p = _p2(spark, d)
+    return p._with(p.df.withColumn("g", F.col("id") % 7)).bounds("g")
+
+
+@query("SELECT CAST(floor(x / 500.0) AS BIGINT) AS cell_x, CAST(floor(y / 500.0) AS BIGINT) AS cell_y, count(*) AS n, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y FROM p2 GROUP BY 1, 2", "p2")
+def cell_summary(spark, d):
+    return layout.cell_summary(view(spark, d, "p2"), XY, 500)
+
+
+@query("SELECT id, CASE WHEN x >= 700 THEN 2 ELSE 0 END + CASE WHEN y >= 200000 THEN 1 ELSE 0 END AS cell FROM p2", "p2")
+def orth_cell_id(spark, d):
+    return view(spark, d, "p2").select("id", layout.orth_cell(G.cols(XY), G.lits((0, 0)), G.lits((1399, 399_999))).alias("cell"))
+
+
+@query("SELECT cut, count(*) FILTER (x < cut) AS n_left, count(*) FILTER (x >= cut) AS n_right FROM p2, (SELECT min(x) + (max(x) - min(x) + 1) // 2 AS cut FROM p2) GROUP BY cut", "p2")
+def split_spatial_median(spark, d):
+    p = view(spark, d, "p2")
+    cut = p.agg(G.box_mid(F.min("x"), F.max("x")).alias("cut"))
+    return p.join(F.broadcast(cut)).groupBy("cut").agg(F.count_if(F.col("x") < F.col("cut")).alias("n_left"), F.count_if(F.col("x") >= F.col("cut")).alias("n_right"))
+
+
+@query("SELECT cut, count(*) FILTER (x < cut) AS n_left, count(*) FILTER (x >= cut) AS n_right FROM p2, (SELECT x AS cut FROM p2 ORDER BY x LIMIT 1 OFFSET (SELECT count(*) // 2 FROM p2)) GROUP BY cut", "p2")
+def split_object_median(spark, d):
+    return layout.object_median(view(spark, d, "p2"), "x")
+
+
+@query("SELECT CASE WHEN max(y) - min(y) > max(x) - min(x) THEN 1 ELSE 0 END AS dim FROM p2", "p2")
+def split_max_stretch(spark, d):
+    low = view(spark, d, "p2").agg(*[F.min(c).alias(f"lo_{c}") for c in XY], *[F.max(c).alias(f"hi_{c}") for c in XY])
+    return low.select(layout.cut_dim([F.col("lo_x"), F.col("lo_y")], [F.col("hi_x"), F.col("hi_y")], 0, "stretch").alias("dim"))
+
+
+@query()
+def kd_cells(spark, d):
+    return layout.kd_cells(_p2(spark, d), 4).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) FILTER (x1 <= 1499 AND x0 >= 0 AND y0 >= 0 AND y1 <= 100000) AS cells_full, count(*) FILTER (NOT (x1 < 0 OR x0 > 1499 OR y1 < 0 OR y0 > 100000) AND NOT (x1 <= 1499 AND x0 >= 0 AND y0 >= 0 AND y1 <= 100000)) AS cells_edge, count(*) FILTER (x1 < 0 OR x0 > 1499 OR y1 < 0 OR y0 > 100000) AS cells_skipped FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p2 GROUP BY floor(x / 2000.0), floor(y / 2000.0))", "p2")
+def cells_touched(spark, d):
+    return layout.touched(layout.cell_summary(view(spark, d, "p2"), XY, 2000), XY, BOX)
+
+
+# Curves
+
+
+def _duck_morton(names: tuple[str, ...]) -> str:
+    """Each step of the spreading in a column of its own, as nested text would double at every step."""
+    d, inner = len(names), "src"
+    for k, (shift, mask) in enumerate(curves.SPREAD[d]):
+        step = ", ".join(f"(({c if k == 0 else f's_{c}'} | ({c if k == 0 else f's_{c}'} << {shift})) & {mask}) AS s_{c}" for c in names)
+        keep = ", ".join(["id", *names])
+        inner = f"(SELECT {keep}, {step} FROM {inner})"
+    return f"SELECT id, {' | '.join(f'(s_{c} << {i})' if i else f's_{c}' for i, c in enumerate(names))} AS code FROM {inner}"
+
+
+@query(_duck_morton(XY).replace("src", "p2"), "p2")
+def morton2(spark, d):
+    return view(spark, d, "p2").select("id", curves.morton(G.cols(XY)).alias("code"))
+
+
+@query(_duck_morton(("x", "y", "z")).replace("src", "(SELECT id, x, greatest(y, 0) AS y, z FROM p3)"), "p3")
+def morton3(spark, d):
+    return view(spark, d, "p3").select("id", curves.morton([F.col("x"), F.greatest("y", F.lit(0)), F.col("z")]).alias("code"))
+
+
+@query()
+def hilbert2(spark, d):
+    return view(spark, d, "p2").select("id", curves.hilbert(G.cols(XY)).alias("code"))
+
+
+@query()
+def hilbert3(spark, d):
+    return view(spark, d, "p3").select("id", curves.hilbert([F.col("x"), F.greatest("y", F.lit(0)), F.col("z")]).alias("code"))
+
+
+# Boxes and scalars
+
+_BOXES = "(SELECT id, x AS lo_x, x + id % 90 AS hi_x, y AS lo_y, y + 500 AS hi_y FROM c2)"
+
+
+def _boxes(spark, d):
+    return view(spark, d, "c2").select("id", F.col("x").alias("lo_x"), (F.col("x") + F.col("id") % 90).alias("hi_x"), F.col("y").alias("lo_y"), (F.col("y") + 500).alias("hi_y"))
+
+
+def _lo():
+    return G.cols(("lo_x", "lo_y"))
+
+
+def _hi():
+    return G.cols(("hi_x", "hi_y"))
+
+
+@query(f"SELECT id, hi_x >= 100 AND lo_x <= 900 AND hi_y >= 0 AND lo_y <= 4000 AS meets FROM {_BOXES}", "c2")
+def box_intersects(spark, d):
+    return _boxes(spark, d).select("id", G.boxes_intersect(_lo(), _hi(), G.lits((100, 0)), G.lits((900, 4000))).alias("meets"))
+
+
+@query(f"SELECT id, CASE WHEN lo_x >= 100 AND hi_x <= 900 AND lo_y >= 0 AND hi_y <= 4000 THEN 1 WHEN hi_x < 100 OR lo_x > 900 OR hi_y < 0 OR lo_y > 4000 THEN -1 ELSE 0 END AS relation FROM {_BOXES}", "c2")
+def box_relation(spark, d):
+    return _boxes(spark, d).select("id", G.box_relation(_lo(), _hi(), G.lits((100, 0)), G.lits((900, 4000))).alias("relation"))
+
+
+@query(f"SELECT id, dx * dx + dy * dy AS d2 FROM (SELECT id, greatest(lo_x - 500, 0, 500 - hi_x) AS dx, greatest(lo_y - 1000, 0, 1000 - hi_y) AS dy FROM {_BOXES})", "c2")
+def box_min_d2(spark, d):
+    return _boxes(spark, d).select("id", G.box_min_d2(G.lits((500, 1000)), _lo(), _hi()).alias("d2"))
+
+
+@query(f"SELECT id, dx * dx + dy * dy AS d2 FROM (SELECT id, greatest(abs(500 - lo_x), abs(hi_x - 500)) AS dx, greatest(abs(1000 - lo_y), abs(hi_y - 1000)) AS dy FROM {_BOXES})", "c2")
+def box_max_d2(spark, d):
+    return _boxes(spark, d).select("id", G.box_max_d2(G.lits((500, 1000)), _lo(), _hi()).alias("d2"))
+
+
+@query(f"SELECT id, lo_x + (hi_x - lo_x + 1) // 2 AS mid_x, lo_y + (hi_y - lo_y + 1) // 2 AS mid_y FROM {_BOXES}", "c2")
+def box_mid(spark, d):
+    return _boxes(spark, d).select("id", G.box_mid(F.col("lo_x"), F.col("hi_x")).alias("mid_x"), G.box_mid(F.col("lo_y"), F.col("hi_y")).alias("mid_y"))
+
+
+@query(f"SELECT min(lo_x) AS lo_x, max(hi_x) AS hi_x, min(lo_y) AS lo_y, max(hi_y) AS hi_y FROM {_BOXES}", "c2")
+def box_of_boxes(spark, d):
+    return _boxes(spark, d).agg(F.min("lo_x").alias("lo_x"), F.max("hi_x").alias("hi_x"), F.min("lo_y").alias("lo_y"), F.max("hi_y").alias("hi_y"))
+
+
+@query(f"SELECT id, CASE WHEN 700 < lo_x THEN 'left' WHEN 700 > hi_x THEN 'right' WHEN 700 = lo_x OR 700 = hi_x THEN 'edge' ELSE 'through' END AS side FROM {_BOXES}", "c2")
+def line_side(spark, d):
+    return _boxes(spark, d).select("id", G.line_side(F.col("lo_x"), F.col("hi_x"), F.lit(700)).alias("side"))
+
+
+# Cleaning, snapshots, order, workloads
+
+
+@query("SELECT DISTINCT x, y FROM b2", "b2")
+def dedup(spark, d):
+    return clean.dedup(view(spark, d, "b2"), XY)
+
+
+@query("SELECT min(id) AS id, x, g AS y FROM (SELECT id, x, y // 50000 AS g FROM p2) GROUP BY x, g", "p2")
+def dedup_ids(spark, d):
+    return clean.dedup(view(spark, d, "p2").withColumn("y", F.floor(F.col("y") / 50000)), XY, "id")
+
+
+@query("SELECT id, CAST(floor(x * 0.25) AS BIGINT) AS x, CAST(floor(y * 0.25) AS BIGINT) AS y FROM c2", "c2")
+def round_down(spark, d):
+    return clean.round_down(view(spark, d, "c2"), XY, 0.25)
+
+
+@query("SELECT x - min(x) OVER () AS x, y - min(y) OVER () AS y FROM c2", "c2")
+def shift_to_origin(spark, d):
+    return clean.shift_to_origin(view(spark, d, "c2"), XY)
+
+
+@query("SELECT bool_and(x BETWEEN 0 AND 2147483647 AND y BETWEEN 0 AND 2147483647) AS ok FROM c2", "c2")
+def coord_check(spark, d):
+    return clean.in_range(view(spark, d, "c2"), XY)
+
+
+@query("SELECT x - min(x) OVER () AS x, y - min(y) OVER () AS y FROM (SELECT DISTINCT CAST(floor(x * 0.1) AS BIGINT) AS x, CAST(floor(y * 0.1) AS BIGINT) AS y FROM c2)", "c2")
+def wash(spark, d):
+    return clean.wash(view(spark, d, "c2"), XY, 0.1)
+
+
+_SNAPS = ("snap_a", "snap_b")
+_FULL = "(SELECT coalesce(a.id, b.id) AS id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, a.id AS aid, b.id AS bid FROM snap_a a FULL JOIN snap_b b ON a.id = b.id)"
+
+
+@query("(SELECT *, 'removed' AS kind FROM (SELECT * FROM snap_a EXCEPT SELECT * FROM snap_b)) UNION ALL (SELECT *, 'added' AS kind FROM (SELECT * FROM snap_b EXCEPT SELECT * FROM snap_a))", *_SNAPS)
+def diff_by_id(spark, d):
+    return delta.diff_by_id(view(spark, d, "snap_a"), view(spark, d, "snap_b"), "id", XY)
+
+
+@query(f"SELECT id, CASE WHEN aid IS NULL THEN 'insert' WHEN bid IS NULL THEN 'delete' ELSE 'update' END AS kind FROM {_FULL} WHERE aid IS NULL OR bid IS NULL OR ax <> bx OR ay <> by_", *_SNAPS)
+def classify_delta(spark, d):
+    return delta.classify(view(spark, d, "snap_a"), view(spark, d, "snap_b"), "id", XY)
+
+
+@query(f"SELECT id, ax AS a_x, ay AS a_y, bx AS b_x, by_ AS b_y FROM {_FULL} WHERE ax <> bx OR ay <> by_", *_SNAPS)
+def merge_conflict(spark, d):
+    return delta.merge(view(spark, d, "snap_a"), view(spark, d, "snap_b"), "id", XY)[1]
+
+
+@query(f"SELECT id, coalesce(ax, bx) AS x, coalesce(ay, by_) AS y FROM {_FULL} WHERE aid IS NULL OR bid IS NULL OR (ax = bx AND ay = by_)", *_SNAPS)
+def merge_calm(spark, d):
+    return delta.merge(view(spark, d, "snap_a"), view(spark, d, "snap_b"), "id", XY)[0]
+
+
+@query("SELECT * FROM snap_a WHERE id % 3 <> 0 UNION ALL SELECT * FROM snap_b WHERE id % 10 = 0", *_SNAPS)
+def apply_delta(spark, d):
+    a, b = view(spark, d, "snap_a"), view(spark, d, "snap_b")
+    return delta.apply(a, a.where("id % 3 = 0"), b.where("id % 10 = 0"), "id")
+
+
+@query("SELECT count(*) FILTER (n > 1) AS n_repeated, sum(n)::BIGINT AS n_rows FROM (SELECT id, count(*) AS n FROM (SELECT * FROM snap_a UNION ALL SELECT * FROM snap_b) GROUP BY id)", *_SNAPS)
+def dup_ids(spark, d):
+    return delta.repeated_ids(view(spark, d, "snap_a").unionByName(view(spark, d, "snap_b")), "id")
+
+
+@query("SELECT count(*) FILTER (n > 1) AS n_repeated FROM (SELECT x, y, count(*) AS n FROM b2 GROUP BY x, y)", "b2")
+def dup_codes(spark, d):
+    return delta.repeated_codes(view(spark, d, "b2"), XY)
+
+
+@query("SELECT id, x, y FROM p2 ORDER BY x, id", "p2")
+def sweepline_sort(spark, d):
+    return clean.sweepline(view(spark, d, "p2"), "x", "id")
+
+
+@query("SELECT id, x, y FROM p2", "p2")
+def curve_sorted(spark, d):
+    return layout.curve_sorted(view(spark, d, "p2"), XY, "id").drop("code")
+
+
+@query("SELECT id, x, y FROM p2 WHERE id % 100 = 0", "p2")
+def knn_queries_strided(spark, d):
+    return datagen.knn_queries(view(spark, d, "p2"), "id", 100_000, 0.01)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
