@@ -5,8 +5,8 @@
    the class's representative (smallest doc_id) counts, so exact copies cost nothing.
 2. K minima are cut to their low BITS bits and packed into bit planes; BANDS groups of ROWS
    full minima make band keys. Classes that share a band key are candidates.
-3. In each bucket every member is compared with the bucket's smallest id: a star, not all
-   pairs. Similarity is estimated from the packed signatures by bit counts, corrected for
+3. In each bucket every member is compared with one pivot, the member that shares most
+   buckets with others: a star, not all pairs. Similarity is estimated from the packed signatures by bit counts, corrected for
    chance agreement of b bits; pairs far below the threshold go no further. The others are
    confirmed on full sets.
 4. Confirmed links are joined to components. Only buckets that still hold more than one
@@ -38,10 +38,11 @@ SHINGLE = 5
 PERCENT = 75
 ROWS = 4
 BANDS = 48
-K = ROWS * BANDS
+#: Minima of a signature; the first ROWS * BANDS also make the band keys.
+K = 256
 BITS = 4
-#: Pairs estimated below this are dropped; six standard errors under the threshold.
-FLOOR = PERCENT / 100 - 6 * (0.75 * 0.25 / K) ** 0.5
+#: Pairs estimated below this are dropped; five standard errors under the threshold.
+FLOOR = PERCENT / 100 - 5 * (0.75 * 0.25 / K) ** 0.5
 #: Members of a block in the search for links across components.
 BLOCK = 256
 
@@ -91,7 +92,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         begin = end
     keys = np.zeros((BANDS, n), np.uint64)
     for r in range(ROWS):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + minima[r::ROWS] + np.uint64(r + 1)) if r else mix(minima[r::ROWS].astype(np.uint64) + _BAND[:, None])
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + minima[r : ROWS * BANDS : ROWS] + np.uint64(r + 1)) if r else mix(minima[r : ROWS * BANDS : ROWS].astype(np.uint64) + _BAND[:, None])
     planes = [np.packbits((minima >> np.uint32(b) & np.uint32(1)).astype(np.uint8), axis=0, bitorder="little") for b in range(BITS)]
     packed = np.concatenate([np.ascontiguousarray(p.T).view("<i8") for p in planes], 1)
     return packed, np.ascontiguousarray(keys.T).view(np.int64)
@@ -207,10 +208,15 @@ def links(docs: DataFrame, sketched: DataFrame, reps: DataFrame) -> tuple[DataFr
     signed = sketched.select("digest", F.col("doc_id").alias("id"), "sig", "keys").join(reps.hint("merge"), ["digest", "id"])
     signed = materialize(signed.dropDuplicates(["digest", "id"]).select("id", "sig", "keys"))
     rows = signed.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("id").alias("n"), F.min("id").alias("first")).where("n > 1")
-    members = materialize(rows.join(buckets.hint("merge"), "key").select("key", "n", "first", "id"))
+    buckets = rows.groupBy("key").agg(F.count("id").alias("n")).where("n > 1")
+    members = materialize(rows.join(buckets.hint("merge"), "key").select("key", "n", "id"))
     sig = signed.select("id", "sig")
-    tested = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    # A bucket's pivot is its member with the most company in all buckets: in a group of copies that is their
+    # original, or whichever is nearest to most, and one star joins the group.
+    mass = members.groupBy("id").agg(F.sum("n").alias("mass"))
+    pivots = members.select("key", "id").join(mass.hint("merge"), "id").groupBy("key").agg(F.max(F.struct("mass", -F.col("id"))).alias("p")).select("key", (-F.col("p")["col2"]).alias("pivot"))
+    paired = members.select("key", "id").join(pivots.hint("merge"), "key").where("id <> pivot")
+    tested = materialize(paired.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct())
     star = tested.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
     near = materialize(star.where(estimate(F.col("sa"), F.col("sb")) >= FLOOR).select("a", "b").distinct())
     confirmed = materialize(confirm(near, docs))
@@ -223,11 +229,12 @@ def links(docs: DataFrame, sketched: DataFrame, reps: DataFrame) -> tuple[DataFr
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(o == F.col("block"), 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))
     split = split.select("key", "id", "component", F.explode(meets).alias("m")).join(sig.hint("merge"), "id")
     pairs = split.select("key", "id", "component", "sig", "m.i", "m.j", "m.side").groupBy("key", "i", "j").applyInPandas(_across, "b long, a long").distinct()
-    more = materialize(confirm(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b"), docs))
+    cross = materialize(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b"))
+    more = materialize(confirm(cross, docs))
     if more.limit(1).count():
         confirmed = confirmed.unionByName(more)
         joined = components(confirmed)
-    for t in (signed, members, near):
+    for t in (signed, members, tested, near, cross):
         discard(t)
     return confirmed, joined
 
