@@ -1,6 +1,6 @@
 """Repeated passages: every 50-byte string that a document with a smaller id holds too is removed.
 
-The corpus is dealt into batches (segments of some 2 MB of whole texts). Each batch gets
+The corpus is dealt into batches (segments of some 1 MB of whole texts). Each batch gets
 arrays of its suffixes, ordered by the fingerprint of a fixed-length prefix - equal
 prefixes meet, which is all that matching at a fixed length needs. The index is a family
 of such arrays for each range of fingerprints: a batch is scanned against the levels in
@@ -44,9 +44,9 @@ LENGTH = 50
 ANCHOR = 24
 #: Cuts fall at one in so many positions.
 CUT = 64
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 #: Text bytes for one range of fingerprints.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 8 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -92,7 +92,7 @@ class Segment:
         n = len(self.buf)
         self.begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.acc, self.inverse = prefix_hashes(self.buf), powers(n + 1)[1]
-        self.doc = np.repeat(np.arange(len(ids)), sizes)
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         #: Whether a string of LENGTH bytes starts here.
         self.valid = np.arange(n) + LENGTH <= self.begin[1:][self.doc] if n else np.zeros(0, bool)
 
@@ -272,7 +272,9 @@ def _asked(step: str, ranges: int):
                     out = x.anchors(_pairs(row["r1"]))[0], None
                 else:
                     out = x.strings(_pairs(row["r1"]), _pairs(row["r2"])[0])
-                yield _send(row["seg"], *out, ranges)
+                made = _send(row["seg"], *out, ranges)
+                del x, row, out  # before the next segment is unpacked
+                yield made
 
     return run
 
@@ -329,6 +331,7 @@ def _cleaned(with_text: bool):
                 }
                 if with_text:
                     out["text"] = pa.array([t.decode("utf-8", "replace") for t in kept], pa.string())
+                del x, s, row, gone, begins, left, total
                 yield pa.RecordBatch.from_pydict(out)
 
     return run
