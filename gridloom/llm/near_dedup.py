@@ -182,7 +182,7 @@ def components(links: DataFrame) -> DataFrame:
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a block pair that lie in different components and are estimated similar."""
     out = []
-    sig = np.array(pdf.sig.tolist(), np.int64).reshape(len(pdf), BITS, K // 64)
+    sig = np.array(pdf.sig.tolist(), np.int64).view(np.uint64).reshape(len(pdf), BITS, K // 64)  # numpy counts the bits of absolute values
     ids, comp, side = pdf.id.to_numpy(), pdf.component.to_numpy(), pdf.side.to_numpy()
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     for i in left:

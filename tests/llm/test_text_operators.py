@@ -70,7 +70,7 @@ def test_signature_estimate_follows_similarity():
     pool = rng.integers(0, 2**63, 4000, np.uint64)
     sets = [np.sort(pool[:2000]), np.sort(pool[300:2300]), np.sort(pool[2000:])]
     packed, _ = near_dedup.signatures(sets)
-    planes = packed.reshape(3, near_dedup.BITS, -1)
+    planes = packed.view(np.uint64).reshape(3, near_dedup.BITS, -1)
     for i, want in ((1, 1700 / 2300), (2, 0.0)):
         agree = near_dedup.K - np.bitwise_count(np.bitwise_or.reduce(planes[0] ^ planes[i], axis=0)).sum(dtype=np.int64)
         assert abs((agree / near_dedup.K - 1 / 16) / (15 / 16) - want) < 0.15
