@@ -27,11 +27,11 @@ def read_points(spark: SparkSession, path: str, d: int, coord_type: str = "long"
 
 def write_points(points: DataFrame, path: str, coords: Sequence[str], order: str | None = None) -> None:
     """One text file with its header; for large sets keep Parquet, which this is not meant to replace."""
-    body = points if order is None else points.orderBy(order)
     n = points.count()
-    head = points.sparkSession.createDataFrame([(0, f"{n} {len(coords)}")], "_k int, value string")
-    keyed = body.select(F.lit(1).alias("_k"), F.concat_ws(" ", *[F.col(c).cast("string") for c in coords]).alias("value"))
-    head.unionByName(keyed).coalesce(1).select("value").write.mode("overwrite").text(path)
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    head = points.sparkSession.createDataFrame([(f"{n} {len(coords)}",)], "value string").select("value", F.lit(0).alias("_k"), F.lit(None).cast("long").alias("_o"))
+    rows = points.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in coords]).alias("value"), F.lit(1).alias("_k"), place.alias("_o"))
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("_k", "_o").select("value").write.mode("overwrite").text(path)
 
 
 def drop_leading(spark: SparkSession, path: str, out: str) -> None:
