@@ -127,7 +127,7 @@ def knn_distances(points: PointSet, queries: DataFrame, k: int, qid: str = "qid"
 
 
 def vector_knn(vectors: DataFrame, queries: DataFrame, k: int, qid: str = "qid") -> DataFrame:
-    """(qid, id, d2, rank) by whole arrays: vectors (id, v), queries (qid, v). Every query meets every vector, in blocks of queries."""
+    """(qid, id, d2, rank) by whole arrays: vectors (id, v), queries (qid, v). A stated query set against all vectors: grids prune nothing in so many dimensions."""
     q = queries.select(qid, F.col("v").alias("_v"))
     pairs = vectors.select("id", "v").crossJoin(q).select(qid, "id", G.vector_d2(F.col("v"), F.col("_v")).alias("d2"))
     by = W.partitionBy(qid).orderBy("d2", "id")
