@@ -44,7 +44,7 @@ BITS = 4
 #: Pairs estimated below this are dropped; five standard errors under the threshold.
 FLOOR = PERCENT / 100 - 5 * (0.75 * 0.25 / K) ** 0.5
 #: Members of a block in the search for links across components.
-BLOCK = 256
+BLOCK = 1024
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 _XOR = _RNG.integers(0, 2**32, K, np.uint32)
