@@ -8,7 +8,9 @@
    on the driver. Their size depends on the benchmark and RANK, not on the corpus.
 3. All passages and items meet in the latent space; pairs of cosine COSINE or more of which the
    passage holds enough of the item are candidates. The passage's norm counts all its terms,
-   also those that no item has.
+   also those that no item has. Items of which the basis keeps less than KEPT - any number of
+   them, once there are more items than RANK - also meet the passages term by term, with the
+   exact products in place of the latent ones, so that no candidate hangs on the rank.
 4. A candidate is a leak if the longest common subsequence of item and passage, weighted by
    rarity, holds VERBATIM of the item; or PARAPHRASE of it when the answer check agrees too:
    ANSWER of the item's rarest quarter of words stand in the passage.
@@ -42,6 +44,10 @@ FIT_DOCUMENTS = 20_000
 #: A candidate: cosine, and the share of the item's squared weight that the passage holds.
 COSINE = 0.2
 HELD = 0.3
+#: Items of which the basis keeps a smaller share of the squared weight are also looked up exactly.
+KEPT = 0.9
+#: Products of passages and items held at once.
+PRODUCTS = 1 << 22
 VERBATIM = 0.75
 PARAPHRASE = 0.5
 ANSWER = 0.6
@@ -210,6 +216,49 @@ class Retrieval:
         np.maximum.at(self.most, pairs & (len(self.weight) - 1), n)
         self.most *= self.weight**2
         self.item_of = self.passages.block_text[self.passages.passage]
+        self.poor = np.flatnonzero((self.item_rows**2).sum(1) < KEPT)
+        self.index_terms()
+
+    def index_terms(self) -> None:
+        """For each term of the vocabulary, the poorly kept item passages (places in `poor`) that have it, and what one occurrence adds to their product."""
+        p, n = self.passages, len(self.vocabulary)
+        a, z = p.block_start[p.passage[self.poor]], p.block_start[p.pair[self.poor] + 1]
+        row = np.concatenate([np.empty(0, np.int64), *(self.place[p.term[x:y]] for x, y in zip(a, z, strict=True))]).astype(np.int64)
+        own = np.repeat(np.arange(len(self.poor)), z - a)[row >= 0]
+        row = row[row >= 0]
+        pairs, count = np.unique(row * max(1, len(self.poor)) + own, return_counts=True)
+        row, self.posted = np.divmod(pairs, max(1, len(self.poor)))
+        self.adds = count * self.weight[self.vocabulary[row]].astype(np.float64) ** 2
+        self.posts = np.searchsorted(row, np.arange(n + 1))
+
+    def exact(self, p: Passages, which: np.ndarray) -> np.ndarray:
+        """Products of the passages `which` with the poorly kept item passages, without the basis."""
+        first, size = p.block_start[p.passage[which]], p.block_start[p.pair[which] + 1] - p.block_start[p.passage[which]]
+        edge = np.cumsum(size) - size
+        row = self.place[p.term[np.repeat(first - edge, size) + np.arange(size.sum())]]
+        own, row = np.repeat(np.arange(len(which)), size)[row >= 0], row[row >= 0]
+        out, many = np.zeros(len(which) * len(self.poor)), self.posts[row + 1] - self.posts[row]
+        done = np.concatenate([[0], np.cumsum(many)])
+        a = 0
+        while a < len(row):
+            z = max(a + 1, int(np.searchsorted(done, done[a] + PRODUCTS, "right")) - 1)
+            at = np.repeat(self.posts[row[a:z]] - (done[a:z] - done[a]), many[a:z]) + np.arange(done[z] - done[a])
+            np.add.at(out, np.repeat(own[a:z], many[a:z]) * len(self.poor) + self.posted[at], self.adds[at])
+            a = z
+        return out.reshape(len(which), len(self.poor))
+
+    def candidates(self, p: Passages, passing: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(passage, item passage, cosine); rows: latent coordinates of the passages."""
+        norms, step = self.norms(p), max(1, PRODUCTS // len(self.item_norms))
+        for a in range(0, len(passing), step):
+            own = passing[a : a + step]
+            size = norms[own][:, None]
+            cosine = rows[own] @ self.item_rows.T / size
+            if len(self.poor):
+                exact = self.exact(p, own) / (size * self.item_norms[self.poor])
+                cosine[:, self.poor] = np.maximum(cosine[:, self.poor], exact)
+            which, item = np.nonzero((cosine >= COSINE) & (cosine * (size / self.item_norms) >= HELD))
+            yield from zip(own[which].tolist(), item.tolist(), cosine[which, item].tolist(), strict=True)
 
     def leaks(self, texts: list[bytes]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item, cosine, share of the common subsequence, share of the answer words)."""
@@ -222,18 +271,15 @@ class Retrieval:
         alive = np.zeros(p.n_blocks, bool)
         alive[p.passage[passing]] = alive[p.pair[passing]] = True
         rows = self.projected(p, self.basis, alive)
-        cosine = rows @ self.item_rows.T / self.norms(p)[:, None]
-        held = cosine * (self.norms(p)[:, None] / self.item_norms)
-        which, item = np.nonzero((cosine >= COSINE) & (held >= HELD))
         best: dict[tuple[int, int], tuple] = {}
-        for w, k in zip(which.tolist(), item.tolist(), strict=True):
+        for w, k, cosine in self.candidates(p, passing, rows):
             text, i = int(p.block_text[p.passage[w]]), int(self.item_of[k])
             margin = max(BLOCK, len(self.words[i]) - BLOCK)
             a = max(int(p.at[text]), int(p.block_start[p.passage[w]]) - margin)
             z = min(int(p.at[text + 1]), int(p.block_start[p.pair[w] + 1]) + margin)
             common, answer = self.check(i, p.hash[a:z])
             if common >= VERBATIM or common >= PARAPHRASE and answer >= ANSWER:
-                found = (common, answer, float(cosine[w, k]))
+                found = (common, answer, cosine)
                 best[text, i] = max(best.get((text, i), found), found)
         for (text, i), (common, answer, c) in best.items():
             yield text, int(self.ids[i]), c, common, answer

@@ -223,6 +223,17 @@ def test_leaks(spark):
     assert decontaminate.leaks(documents(spark, []), bench).collect() == []
 
 
+def test_leaks_of_more_items_than_the_basis_has_directions(spark):
+    rng = random.Random(9)
+    lexicon = [words(rng, 1) + words(rng, 1) for _ in range(6000)]
+    of = lambda n: " ".join(rng.choices(lexicon, k=n))
+    items = [(i, of(30)) for i in range(3000)]
+    docs = [(i, f"{of(60)} {t} {of(60)}") for i, t in items[:400]] + [(10_000 + i, of(150)) for i in range(400)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, docs), bench).collect()}
+    assert found == {(i, i) for i in range(400)}
+
+
 def test_classifiers_on_held_out_rows(spark):
     rng = random.Random(6)
     rows, labels = [], []
