@@ -2,10 +2,11 @@
 
 1. Document frequencies of hashed terms, counted over all documents, give TF-IDF weights.
 2. Every text is read as passages of 2 * BLOCK words, half overlapping. A randomised SVD of
-   the passages of FIT_DOCUMENTS documents and of the benchmark - weighted up, so that its
-   vocabulary is not drowned - is made in one distributed pass: tasks add up A'(A W) for a Gaussian W over the terms of
-   the benchmark, the sums meet in a tree, and the small factors (Nystroem form) are solved
-   on the driver. Their size depends on the benchmark and RANK, not on the corpus.
+   all passages - those of the benchmark weighted up, so that its vocabulary is not drowned -
+   is made in one distributed pass: tasks add up A'(A W) for a Gaussian W over the terms of
+   the benchmark (through A'A where that is small), the sums meet in a tree, and the small
+   factors (Nystroem form) are solved on the driver. Their size depends on the benchmark and
+   RANK, not on the corpus.
 3. All passages and items meet in the latent space; pairs of cosine COSINE or more of which the
    passage holds enough of the item are candidates. The passage's norm counts all its terms,
    also those that no item has. Items of which the basis keeps less than KEPT - any number of
@@ -39,8 +40,8 @@ RANK = 256
 OVERSAMPLE = 16
 #: Terms of more than this share of all items weigh nothing in the search.
 COMMON = 0.05
-#: The bound of the documents that the basis is fitted on, chosen by a hash of the id. Every document is searched.
-FIT_DOCUMENTS = 20_000
+#: Up to so many terms a task adds up A'A itself, which takes fewer steps than A'(A W) and gives the same.
+SQUARE = 6000
 #: A candidate: cosine, and the share of the item's squared weight that the passage holds.
 COSINE = 0.2
 HELD = 0.3
@@ -198,6 +199,24 @@ class Retrieval:
             new = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
             total[r[new]] += np.add.reduceat(by_block[p.block[own]] * self.weight[p.term[own]][:, None], new)
 
+    def squared(self, p: Passages, total: np.ndarray) -> None:
+        """total += the part above the diagonal, and half the diagonal, of A'A over unit passages; of any two terms, either way round."""
+        row = self.place[p.term]
+        known = np.concatenate([[0], np.cumsum(row >= 0)])
+        row = row[row >= 0].astype(np.int64)
+        x = self.weight[self.vocabulary[row]]
+        first, size = known[p.block_start[p.passage]], known[p.block_start[p.pair + 1]] - known[p.block_start[p.passage]]
+        scale, flat = 1 / self.norms(p) ** 2, total.reshape(-1)
+        for n in np.unique(size[size > 0]).tolist():
+            i, j = np.triu_indices(n)
+            half = np.where(i == j, np.float32(0.5), np.float32(1))
+            own = np.flatnonzero(size == n)
+            for a in range(0, len(own), max(1, TOKENS * 8 // len(i))):
+                some = own[a : a + max(1, TOKENS * 8 // len(i))]
+                at = first[some][:, None] + np.arange(n)
+                r, w = row[at], x[at]
+                np.add.at(flat, (r[:, i] * len(total) + r[:, j]).ravel(), (w[:, i] * w[:, j] * half * scale[some][:, None]).ravel().astype(np.float32))
+
     def solve(self, y: np.ndarray, omega: np.ndarray) -> None:
         """Right singular vectors from one pass: C ~ Y (W'Y)^-1 Y'."""
         y, omega = y.astype(np.float64), omega.astype(np.float64)
@@ -316,21 +335,22 @@ def retrieval(docs: DataFrame, benchmark: DataFrame) -> Retrieval | None:
 
     def sketched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, w = shared.value
-        total, n = np.zeros((len(own.vocabulary), w.shape[1]), np.float32), 0
+        square = len(w) <= SQUARE
+        total, n = np.zeros((len(w), len(w) if square else w.shape[1]), np.float32), 0
         for b in batches(it):
             batch = raw(b.column(0))
             for a, z in chunks(batch):
                 p = Passages(batch[a:z])
-                own.gram(p, w, total)
+                if square:
+                    own.squared(p, total)
+                else:
+                    own.gram(p, w, total)
                 n += len(p.passage)
+        if square:
+            total = total @ w + total.T @ w
         yield _one(np.concatenate([total.ravel(), [n]]))
 
-    # A bounded sample, the same whatever the partitions: ids whose hash falls under the share that gives FIT_DOCUMENTS.
-    n_docs = int(counted[-1])
-    share = docs.select("doc_id", "text").where("text is not null")
-    if n_docs > FIT_DOCUMENTS:
-        share = share.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * FIT_DOCUMENTS / n_docs)))
-    sums = tree_sum(share.select("text").mapInArrow(sketched, "k int, sums binary"), tasks)
+    sums = tree_sum(texts.mapInArrow(sketched, "k int, sums binary"), tasks)
     total = sums[:-1].reshape(omega.shape).astype(np.float32)
     # The benchmark's own passages weigh as much as the corpus together.
     r.gram(r.passages, omega, total, weight=max(1.0, float(sums[-1]) / max(1, len(r.passages.passage))))

@@ -234,6 +234,26 @@ def test_leaks_of_more_items_than_the_basis_has_directions(spark):
     assert found == {(i, i) for i in range(400)}
 
 
+def test_basis_is_fitted_on_all_passages(spark):
+    rng = random.Random(12)
+    lexicon = [words(rng, 1) for _ in range(150)]
+    texts = [" ".join(rng.choices(lexicon, k=rng.randint(1, 12))) for _ in range(22_000)]
+    docs = spark.createDataFrame([(i if i % 2 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(rng.choices(lexicon, k=20))) for i in range(8)], "item_id long, text string")
+    total, seen = decontaminate.tree_sum, []
+    decontaminate.tree_sum = lambda parts, tasks: seen.append(total(parts, tasks)) or seen[-1]
+    try:
+        r = decontaminate.retrieval(docs, bench)
+    finally:
+        decontaminate.tree_sum = total
+    assert seen[1][-1] == 22_000
+    p = decontaminate.Passages([t.encode() for t in texts])
+    w = np.random.Generator(np.random.PCG64(3)).normal(0, 1, (len(r.vocabulary), min(decontaminate.RANK + decontaminate.OVERSAMPLE, len(r.vocabulary)))).astype(np.float32)
+    want = np.zeros_like(w)
+    r.gram(p, w, want)
+    assert np.allclose(seen[1][:-1].reshape(w.shape), want, rtol=1e-3, atol=1e-3 * np.abs(want).max())
+
+
 def test_classifiers_on_held_out_rows(spark):
     rng = random.Random(6)
     rows, labels = [], []
