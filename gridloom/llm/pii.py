@@ -33,7 +33,7 @@ class Kind:
     name: str
     #: Linear in the text: possessive quantifiers, and starts only where a run of the first class begins.
     pattern: str
-    #: A cheap test that any text with a match passes.
+    #: A cheap test that any text with a match passes: a literal, or an expression that begins with a class.
     hint: str
     base: bool
     score: float
@@ -44,11 +44,11 @@ class Kind:
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", True, 0.9, 0.1, "mail|contact|write|kontakt|correo|courriel"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", True, 0.6, 0.3, r"\bip\b|host|server|address|login|adresse"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", True, 0.8, 0.2, "card|visa|credit|payment|karte|tarjeta|carte"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", True, 0.8, 0.2, "card|visa|credit|payment|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.7, 0.2, "phone|call|tel|mobile|fax|whatsapp"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", False, 0.8, 0.2, "iban|bank|account|konto|cuenta|compte"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[0-9]{2}", False, 0.8, 0.2, "iban|bank|account|konto|cuenta|compte"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", False, 0.3, 0.5, r"\bssn\b|social security"),
-    Kind("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+", "", False, 0.2, 0.6, r"\b(?:api[_ -]?key|secret|token|passwo?r?d|bearer)\b[\"']?\s*[:=]?\s*[\"']?$"),
+    Kind("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+", "[A-Za-z0-9_/+-]{20}", False, 0.2, 0.6, r"\b(?:api[_ -]?key|secret|token|passwo?r?d|bearer)\b[\"']?\s*[:=]?\s*[\"']?$"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
@@ -83,7 +83,7 @@ def mod97(iban: Column) -> Column:
 
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
-        return m.rlike(r"^(?:0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$")
+        return m.rlike(r"^(?:(?:0++|0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5]))(?:\.|$)){4}$")
     if kind == "card":
         d = _digits(m)
         return F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False)
@@ -120,7 +120,7 @@ def _spans(df: DataFrame) -> DataFrame:
 
     df has a `text` that is never null."""
     text, every = F.col("text"), list(enumerate(KINDS))
-    hint = lambda k: text.rlike("[0-9][\\x20-]?[0-9]") if k.hint == "" else text.contains(k.hint)
+    hint = lambda k: text.rlike(k.hint) if k.hint.startswith("[") else text.contains(k.hint)
     df = _with(df, {f"_m{r}": F.when(hint(k), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))) for r, k in every})
     df = _with(df, {f"_p{r}": F.when(F.size(f"_m{r}") > 0, F.split(text, k.pattern, -1)) for r, k in every})
 

@@ -164,6 +164,15 @@ def test_personal_data(spark):
     assert pii.report(documents(spark, [])).collect() == []
 
 
+def test_addresses_with_zero_octets_and_secrets_of_single_digits(spark):
+    texts = ["10.0.0.1", "127.0.0.1", "0.0.0.0", "1.2.3.000", "010.0.0255.1", "10.0.0.256", "token = a1b2c3d4e5f6g7h8i9j0kx"]
+    got = {r.doc_id: r for r in pii.report(documents(spark, list(enumerate(texts)))).collect()}
+    assert [got[i].n_ip for i in range(6)] == [1, 1, 1, 1, 1, 0] and got[0].spans == "ip:0:8"
+    assert got[6].spans == "secret:8:30"
+    text = {r.doc_id: r.text for r in pii.redact(documents(spark, list(enumerate(texts)))).collect()}
+    assert text[1] == "[IP]" and text[6] == "token = [SECRET]"
+
+
 def test_quality_rules(spark, corpus):
     texts = [*corpus, (500, "One two three four five.\nOne two three four five.\nSix seven eight nine ten eleven."), (501, "a b c d e f g a b c d e f"), (502, "# $ % & | ### nav | home | about | contact | help | more words here"),
              (503, "Clean prose of a kind that any reader would keep.\nIt has two lines, and both of them end well.")]
