@@ -41,8 +41,8 @@ START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 #: Compressed bytes after which a task begins another archive.
 ROLL_BYTES = 64 << 20
 BLOCK = 1 << 20
-#: An uncompressed header longer than this is damage.
-MAX_HEADER = 64 << 10
+#: The end of a plain record's header is looked for in steps that begin with this; only its own bounds end the search.
+HEADER = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -84,7 +84,7 @@ class Damage(Exception):
 
 def parse_record(data: bytes) -> tuple[dict, int]:
     """The record at the start of data, and its length; Damage if a check fails."""
-    end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
+    end = data.find(b"\r\n\r\n")
     if not data.startswith(b"WARC/1.") or end < 0:
         raise Damage("header")
     fields: dict[str, str] = {}
@@ -188,9 +188,13 @@ def at(source: Source, pos: int) -> tuple[list[dict], int]:
             records.append(record)
             used += n
         return records, end
-    head = source.take(pos, MAX_HEADER)
+    head, n = source.take(pos, HEADER), HEADER
     if not head.startswith(b"WARC/1."):
         raise Damage("no record here")
+    # A header line is of any length, but what follows the first line of another record is not this one's header.
+    while b"\r\n\r\n" not in head and len(head) == n and b"\r\nWARC/1." not in head:
+        n *= 4
+        head = source.take(pos, n)
     length = re.search(rb"(?im)^content-length:\s*(\d+)", head.partition(b"\r\n\r\n")[0])
     if not length:
         raise Damage("content length")

@@ -43,6 +43,16 @@ def test_salvage_of_compressed_members():
     assert told(b"".join(members)[:-7])[-1][0] == "gap" and told(b"junk" + members[0])[1][0] == 0
 
 
+def test_very_long_urls(spark):
+    urls = {1: "http://a/" + "x" * 70_000, 2: "http://a/" + "%" * 300_000, 3: "http://a/3"}
+    pages = spark.createDataFrame([(i, u, "same" if i < 3 else "other") for i, u in urls.items()], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()) == [(1, "revisit", 2), (2, "response", None), (3, "response", None)]
+    assert {r.page_id: r.url for r in warc.read(warc.write(pages)).collect()} == urls
+    plain = [warc.encode_record(i, u, b"payload", None) for i, u in urls.items()]
+    assert [x[0] for x in told(b"".join(plain))] == [1, 2, 3]
+    assert [x[0] for x in told(plain[0][:80_000].replace(b"\r\n\r\n", b"") + b"\r\n" + plain[1])] == ["gap", 2]
+
+
 def test_salvage_of_plain_records():
     records = [warc.encode_record(i, None, f"payload {i} ".encode() * 50, 1 if i == 3 else None) for i in range(8)]
     data = bytearray(b"".join(records))
