@@ -8,9 +8,10 @@ Scripts, styles, comments and markup never reach a line.
 Differencing sorts pages by host and URL path (a range partitioning, so that a host with
 a third of all pages spreads over many tasks), pairs each page with the nearest pages
 around it, aligns their lines by longest common subsequence and deletes what they share.
-Lines of an article element are kept, and settle the page: two pages may well quote the same
-paragraph, or be copies of each other. A neighbour that shares most of a page's open text is a copy and
-says nothing about the frame, so the next one is asked.
+Lines of an article element are kept, as two pages may well quote the same paragraph; open lines are
+kept unless they are shared, whether the page has an article element or not. A neighbour that shares most
+of a page's text outside of boilerplate is a copy and says nothing about the frame, so the next one is asked.
+Pages without open lines are settled, and only serve as neighbours.
 
 Defined results: null html gives an empty text; a null url counts as the empty host and
 path; repeated pages are reported once each; an empty table gives an empty table; other
@@ -54,7 +55,7 @@ OPEN, ARTICLE, BOILERPLATE = 0, 1, 2
 NEIGHBOURS = 3
 #: Pages in a range; those at its ends find neighbours on one side only.
 PAGES_A_TASK = 2000
-#: A neighbour sharing more of a page's open text than this is a copy.
+#: A neighbour sharing more of a page's open and article text than this is a copy.
 COPY = 0.8
 
 
@@ -72,6 +73,12 @@ def _is_frame(name: str, attributes: str) -> bool:
     return False
 
 
+def _is_named_frame(attributes: str) -> bool:
+    """Whether a word of an article's class or id begins with the name of a frame: "comment", "teaser-card", not "has-comments"."""
+    names = ("".join(values) for key, *values in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id"))
+    return any(FRAME_NAME.match(x) for name in names for x in name.split())
+
+
 def parse(page: str) -> list[tuple[str, int]]:
     """The page's lines and their marks, in page order."""
     lines: list[tuple[str, int]] = []
@@ -149,7 +156,9 @@ def parse(page: str) -> list[tuple[str, int]]:
         if name in CLOSES_P and stack and stack[-1][0] == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             pop(len(stack) - 1)
         kind = ""
-        if name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody", attributes):
+        if name == "article" and _is_named_frame(attributes):
+            kind = "frame"  # a comment, a teaser
+        elif name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody", attributes):
             kind = "article"
         elif name in ("html", "body"):
             pass
@@ -229,36 +238,37 @@ def _line_id(line: str) -> int:
 
 
 def _parsed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A page's text where its article is marked, else its open lines; and what all its lines are told by."""
+    """A page's text where no line of it is open, else its lines outside of boilerplate; and what all its lines are told by."""
     for b in batches(it):
         places = [_place(u) for u in b.column(1).to_pylist()]
         pages = [parse(h or "") for h in b.column(2).to_pylist()]
-        settled = [any(k == ARTICLE for _, k in x) for x in pages]
+        settled = [all(k != OPEN for _, k in x) for x in pages]
         yield pa.RecordBatch.from_pydict({
             "page_id": b.column(0), "url": b.column(1), "host": pa.array([h for h, _ in places], pa.string()), "path": pa.array([p for _, p in places], pa.string()),
             "text": pa.array(["\n".join(t for t, k in x if k == ARTICLE) if s else None for x, s in zip(pages, settled, strict=True)], pa.string()),
-            "open": pa.array([None if s else [t for t, k in x if k == OPEN] for x, s in zip(pages, settled, strict=True)], pa.list_(pa.string())),
+            "body": pa.array([None if s else [t for t, k in x if k != BOILERPLATE] for x, s in zip(pages, settled, strict=True)], pa.list_(pa.string())),
             "lines": pa.array([[_line_id(t) for t, _ in x] for x in pages], pa.list_(pa.int64())), "marks": pa.array([bytes(k for _, k in x) for x in pages], pa.binary()),
         })
 
 
 def _shared(page: dict, others: list[dict]) -> np.ndarray:
-    """Open lines of the page that its nearest neighbour which is no copy has too."""
-    unsure = np.frombuffer(page["marks"], np.uint8) == OPEN
-    size = np.zeros(len(unsure), np.int64)
-    size[unsure] = [len(x) for x in page["open"]]
+    """Which of the page's lines outside of boilerplate are open, and its nearest neighbour which is no copy has them too."""
+    marks = np.frombuffer(page["marks"], np.uint8)
+    unsure, body = marks == OPEN, marks != BOILERPLATE
+    size = np.zeros(len(marks), np.int64)
+    size[body] = [len(x) for x in page["body"]]
     total = size.sum()
     for other in others if total else ():
         if other["host"] != page["host"]:
             continue
-        both = common(page["lines"], other["lines"]) & unsure
+        both = common(page["lines"], other["lines"])
         if size[both].sum() <= COPY * total:
-            return both[unsure]
-    return np.zeros(len(page["open"]), bool)
+            return (both & unsure)[body]
+    return np.zeros(len(page["body"]), bool)
 
 
 def main_text(page: dict, others: list[dict]) -> str:
-    return "\n".join(x for x, gone in zip(page["open"], _shared(page, others), strict=True) if not gone)
+    return "\n".join(x for x, gone in zip(page["body"], _shared(page, others), strict=True) if not gone)
 
 
 def _differenced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +286,7 @@ def _differenced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def one() -> None:
         nonlocal held
         page = window[at]
-        if page["open"] is None:  # settled; here for its neighbours
+        if page["body"] is None:  # settled; here for its neighbours
             step()
             return
         order = [k for d in range(1, NEIGHBOURS + 1) for k in (at - d, at + d) if 0 <= k < len(window)]
@@ -309,10 +319,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page (page_id, url, html)."""
     spark = pages.sparkSession
     small_batches(spark)
-    parsed = materialize(pages.select("page_id", "url", "html").mapInArrow(_parsed, "page_id long, url string, host string, path string, text string, open array<string>, lines array<long>, marks binary"))
+    parsed = materialize(pages.select("page_id", "url", "html").mapInArrow(_parsed, "page_id long, url string, host string, path string, text string, body array<string>, lines array<long>, marks binary"))
     n = max(1, -(-parsed.count() // PAGES_A_TASK))
     # Settled pages stay where they are; only what tells their lines travels.
-    placed = parsed.select("page_id", F.when(F.col("open").isNotNull(), F.col("url")).alias("url"), "host", "path", "open", "lines", "marks")
+    placed = parsed.select("page_id", F.when(F.col("body").isNotNull(), F.col("url")).alias("url"), "host", "path", "body", "lines", "marks")
     placed = placed.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    texts = parsed.where("open is null").select("page_id", "url", "text").unionByName(placed.mapInArrow(_differenced, "page_id long, url string, text string"))
+    texts = parsed.where("body is null").select("page_id", "url", "text").unionByName(placed.mapInArrow(_differenced, "page_id long, url string, text string"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))

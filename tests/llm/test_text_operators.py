@@ -202,6 +202,15 @@ def test_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_article_elements_do_not_hide_open_lines(spark):
+    page = "<div>Menu of the site</div><p>Story {0} is told at some length here</p><article class='{1}'>Card {0} in words</article>"
+    kept = "<div>Menu of the site</div><article class='post has-comments'>Story {0} is told at some length here</article>"
+    rows = [(i, f"http://h.example/{i}", page.format(i, c)) for i, c in enumerate(("comment", "teaser-card", "card"))] + [(i, f"http://h.example/{i}", kept.format(i)) for i in (3, 4)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = [f"Story {i} is told at some length here" for i in range(5)]
+    assert [got[i] for i in range(5)] == [story[0], story[1], f"{story[2]}\nCard 2 in words", story[3], story[4]]
+
+
 def test_common_lines_are_longest():
     rng = random.Random(1)
     for _ in range(200):
