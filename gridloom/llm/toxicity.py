@@ -5,8 +5,9 @@ inflected languages share a stem), hashed to BUCKETS. The machine scores
     w0 + sum_i w_i + sum_{i<j} <v_i, v_j>
 over the terms present, so that a pair such as an insult with a group mention can weigh
 more than its parts. It is fitted on at most TRAIN_ROWS labelled rows (those with the
-smallest hash of their id, so the same rows whatever the partitions; every positive row
-counts among them first) by AdaGrad on the logistic loss. Only terms whose share among
+smallest hash of their id, so the same rows whatever the partitions; so many of either
+class) by AdaGrad on the logistic loss; the bias is then set back from the sample's rate of
+toxic rows to that of all labelled rows. Only terms whose share among
 toxic and other rows of that sample differs by SCREEN standard errors take part; the
 others weigh nothing. The fitted weights, bounded by ACTIVE terms, go to every task.
 
@@ -148,9 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Machine:
             out = [np.searchsorted(index, x[np.isin(x, index)]).astype(np.int32).tobytes() for x in (np.array(t, np.int32) for t in b.column(1).to_pylist())]
             yield pa.RecordBatch.from_pydict({"h": b.column(0), "at": pa.array(out, pa.binary()), "y": b.column(2)})
 
+    total = known.agg(F.count_if(F.col("y") > 0.5).alias("toxic"), F.count_if(F.col("y") <= 0.5).alias("other")).first()
     got = sorted((r.h, bytes(r["at"]), r.y) for r in sample.mapInArrow(places, "h long, at binary, y double").collect())
     discard(sample)
-    return _fit(index, [np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for *_, y in got], float))
+    m = _fit(index, [np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for *_, y in got], float))
+    # A class of which only one row in n was taken stands n times too low in the odds.
+    m.bias += np.log(max(1.0, total.toxic / TRAIN_ROWS)) - np.log(max(1.0, total.other / TRAIN_ROWS))
+    return m
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

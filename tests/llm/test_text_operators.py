@@ -294,6 +294,17 @@ def test_classifiers_on_held_out_rows(spark):
     assert {r.score for r in quality.classify(docs, known.limit(0)).collect()} == {0.5}
 
 
+def test_toxic_scores_follow_the_rate_of_all_labels(spark, monkeypatch):
+    rng = random.Random(14)
+    labels = [(i, int(i % 9 == 0)) for i in range(3600)]
+    docs = documents(spark, [(i, "cursed" if toxic and rng.random() < 0.5 else "plain") for i, toxic in labels])
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain = lambda: next(r.score for r in toxicity.classify(docs, known).collect() if r.doc_id == 1)
+    whole = plain()
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 250)
+    assert abs(plain() - whole) < 0.04
+
+
 def test_isotonic_curve_rises():
     at, value = quality.pooled(np.arange(6.0), np.ones(6), np.array([0, 1, 0, 1, 1, 0.5]))
     assert (np.diff(value) > 0).all() and (np.diff(at) > 0).all()
