@@ -88,6 +88,38 @@ def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b
 
 
+def _changes(t: pa.Table, columns: int) -> np.ndarray:
+    """Where rows differ from the row before in the first columns (longs or ints, without nulls)."""
+    new = np.zeros(max(t.num_rows - 1, 0), bool)
+    for c in range(columns):
+        x = t.column(c).to_numpy()
+        new |= x[1:] != x[:-1]
+    return np.flatnonzero(new) + 1
+
+
+def group_ranges(t: pa.Table, columns: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of the runs of equal values in the first columns."""
+    edges = [0, *_changes(t, columns).tolist(), t.num_rows]
+    yield from zip(edges[:-1], edges[1:], strict=True)
+
+
+def whole_groups(it: Iterator[pa.RecordBatch], columns: int, rows: int = 8192, size: int = 32 << 20) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by their first columns."""
+    held: list[pa.RecordBatch] = []
+    for b in batches(it):
+        held.append(b)
+        if sum(x.num_rows for x in held) < rows and sum(x.nbytes for x in held) < size:
+            continue
+        t = pa.Table.from_batches(held)
+        cut = _changes(t, columns)
+        if len(cut):
+            yield t.slice(0, cut[-1])
+            t = t.slice(cut[-1])
+        held = t.to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (the well-known murmur constants)."""
     x = x ^ (x >> np.uint64(33))

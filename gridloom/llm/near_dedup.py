@@ -4,35 +4,35 @@
    the same set form a class, told by a 128-bit digest of the sorted set; from here on only
    the class's representative (smallest doc_id) counts, so exact copies cost nothing.
 2. K minima are cut to their low BITS bits and packed into bit planes; BANDS groups of ROWS
-   full minima make band keys. Classes that share a band key are candidates.
-3. In each bucket every member is compared with one pivot, the member that shares most
-   buckets with others: a star, not all pairs. Similarity is estimated from the packed signatures by bit counts, corrected for
-   chance agreement of b bits; pairs far below the threshold go no further. The others are
-   confirmed on full sets.
-4. Confirmed links are joined to components. Only buckets that still hold more than one
-   component can hide another link: their members meet in blocks, pair block by pair block,
-   and cross-component pairs are estimated and confirmed like the first ones.
+   full minima make band keys. Classes that share a band key are candidates; of buckets with
+   the same members one is used.
+3. Members of a bucket meet in blocks. Similarity is estimated from the packed signatures by
+   bit counts, corrected for chance agreement of b bits; members with no partner that is
+   estimated near fetch nothing. The others fetch their full sets, confirm their links on
+   them inside the block and hand on only what joins components: a tree, never pairs.
+4. First each class meets others in its FIRST fullest buckets, in one block of each, which
+   joins most of a group of copies. Then every bucket that still holds more than one component
+   is searched whole: its largest component against the others, and these among themselves.
 A pair at exactly the threshold misses all bands with probability (1 - 0.75**4)**48 < 2e-8.
 
 Defined results: null and empty texts, and texts of white space alone, have the empty set,
 link with nothing and are their own component; fewer than five words are one shingle;
 repeated ids share a component when their texts do; rows with null ids are left out of
-links and keep a null component_id; other columns are ignored.
+links, have a null component_id and are kept; very long texts are hashed whole, in blocks
+bounded by shingles; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, batches, chunks, discard, materialize, mix, raw, small_batches, windows
+from gridloom.llm.common import Words, batches, chunks, discard, group_ranges, materialize, mix, raw, small_batches, whole_groups, windows
 
 SHINGLE = 5
 PERCENT = 75
@@ -43,8 +43,11 @@ K = 256
 BITS = 4
 #: Pairs estimated below this are dropped; five standard errors under the threshold.
 FLOOR = PERCENT / 100 - 5 * (0.75 * 0.25 / K) ** 0.5
-#: Members of a block in the search for links across components.
+#: Members of a block, and shingles in all of them, that one task holds at a time.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 22
+#: Buckets in which a class meets others before components are first joined.
+FIRST = 3
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 _XOR = _RNG.integers(0, 2**32, K, np.uint32)
@@ -110,20 +113,7 @@ def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if full:
             packed[full], keys[full] = signatures([sets[i] for i in full])
         digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists(packed), _lists(keys)], ["doc_id", "n_shingles", "digest", "sig", "keys"])
-
-
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity of two packed signatures: agreeing lanes by bit counts, less the agreement of chance."""
-    words = K // 64
-    agree = F.lit(0)
-    for w in range(words):
-        differ = a[w].bitwiseXOR(b[w])
-        for plane in range(1, BITS):
-            differ = differ.bitwiseOR(a[plane * words + w].bitwiseXOR(b[plane * words + w]))
-        agree = agree + (F.lit(64) - F.bit_count(differ))
-    chance = 2.0**-BITS
-    return (agree / K - chance) / (1 - chance)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([p.tobytes() for p in packed], pa.binary()), _lists(keys)], ["doc_id", "n_shingles", "digest", "sig", "keys"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -131,33 +121,106 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: OrderedDict[bytes, np.ndarray] = OrderedDict()  # the sets used last, by text digest
-
-    def sets(texts: list[bytes]) -> list[np.ndarray]:
-        keys = [xxhash.xxh3_128_digest(t) for t in texts]
-        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in held}
-        held.update(zip(new, shingle_sets(list(new.values())), strict=True))
-        return [held[k] for k in keys]
-
-    for batch in batches(it):
-        for at in range(0, batch.num_rows, 64):
-            b = batch.slice(at, 64)
-            a_ids, b_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            good = [linked(x, y) for x, y in zip(sets(raw(b.column(2))), sets(raw(b.column(3))), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, g in zip(a_ids, good, strict=True) if g], pa.int64()), pa.array([i for i, g in zip(b_ids, good, strict=True) if g], pa.int64())], ["a", "b"])
-            while len(held) > 256:
-                held.popitem(last=False)
+def _similar(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, the members that an estimate puts near a member of another component."""
+    for t in whole_groups(it, 3):
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(t.num_rows, BITS, K // 64)
+        comp, side = (t.column(c).to_numpy() for c in ("component", "side"))
+        near = np.zeros(t.num_rows, bool)
+        for at, end in group_ranges(t, 3):
+            left = np.flatnonzero(side[at:end] != 1) + at
+            right = np.flatnonzero(side[at:end] != 0) + at
+            for i in left.tolist():
+                other = right[comp[right] != comp[i]]
+                if side[i] == 2:
+                    other = other[other > i]
+                if len(other):
+                    good = other[similarity(sig[i], sig[other]) >= FLOOR]
+                    if len(good):
+                        near[good] = True
+                        near[i] = True
+        yield from t.drop_columns(["sig"]).filter(pa.array(near)).to_batches()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of packed signatures: lanes that agree, by bit counts, less the agreement of chance."""
+    agree = K - np.bitwise_count(np.bitwise_or.reduce(a ^ b, axis=-2)).sum(-1, dtype=np.int64)
+    return (agree / K - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def _joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, what its full sets join: every group of ids with a link is emitted as a tree."""
+    for t in whole_groups(it, 3):
+        a, b = [], []
+        ids, comp, side = (t.column(c).to_numpy() for c in ("id", "component", "side"))
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        for at, end in group_ranges(t, 3):
+            for group in _trees(ids[at:end], comp[at:end], side[at:end], sets[at:end]):
+                # A heap's shape: no id has more than three neighbours, none is far from the smallest.
+                a += group[1:]
+                b += [group[(k - 1) // 2] for k in range(1, len(group))]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _trees(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[list[int]]:
+    """Sorted ids, one of each component, of the groups of components that links of this block join."""
+    _, root = np.unique(comp, return_inverse=True)
+    flat, where = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    start = np.concatenate([[0], np.cumsum(size)])
+    own = root.copy()
+    mark = np.zeros(len(flat), bool)
+    right = np.flatnonzero(side != 0)
+    for i in np.flatnonzero(side != 1).tolist():
+        other = right[root[right] != root[i]]
+        if side[i] == 2:
+            other = other[other > i]
+        if not len(other):
+            continue
+        mine = where[start[i] : start[i + 1]]
+        mark[mine] = True
+        for part in np.array_split(other, max(1, int(size[other].sum()) >> 22)):
+            take = np.concatenate([where[start[j] : start[j + 1]] for j in part.tolist()])
+            both = np.add.reduceat(mark[take].astype(np.int64), np.concatenate([[0], np.cumsum(size[part])[:-1]]))
+            good = part[100 * both >= PERCENT * (size[part] + size[i] - both)]
+            if len(good):
+                root[np.isin(root, root[good])] = root[i]
+        mark[mine] = False
+    out = []
+    one = {o: int(x) for o, x in zip(own.tolist(), ids.tolist(), strict=True)}
+    members: dict[int, set[int]] = {}
+    for o, r in zip(own.tolist(), root.tolist(), strict=True):
+        members.setdefault(r, set()).add(o)
+    for group in members.values():
+        if len(group) > 1:
+            out.append(sorted({one[o] for o in group}))
+    return out
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough."""
-    need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(need.hint("merge"), "id", "left_semi").distinct()
-    texts = materialize(texts)
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long").distinct()
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches(it):
+        sets = [s.tobytes() for s in shingle_sets(raw(b.column(0)))]
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["digest", "set"])
+
+
+def _search(split: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components in the blocks of split (key, i, j, side, id, digest, component).
+
+    Estimates tell which members have a partner in their block at all; only those fetch their full sets."""
+    block = ["key", "i", "j"]
+    fields = "key long, i int, j int, side int, id long, digest binary, component long"
+    rows = split.select(*block, "side", "id", "digest", "component")
+    signs = signed.select("id", "digest", "sig").hint("merge")
+    near = materialize(rows.join(signs, ["id", "digest"]).select(*rows.columns, "sig").repartition(*block).sortWithinPartitions(*block).mapInArrow(_similar, fields))
+    ids = near.select("id").distinct().hint("merge")
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "id", "left_semi").select("text").distinct()
+    sets = materialize(texts.mapInArrow(_sets, "digest binary, set binary").dropDuplicates(["digest"]))
+    full = near.join(sets.hint("merge"), "digest").select(*block, "side", "id", "component", "set")
+    out = materialize(full.repartition(*block).sortWithinPartitions(*block).mapInArrow(_joined, "a long, b long").distinct())
+    discard(near)
+    discard(sets)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -179,64 +242,58 @@ def components(links: DataFrame) -> DataFrame:
             return new.select("id", F.col("label").alias("component"))
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block pair that lie in different components and are estimated similar."""
-    out = []
-    sig = np.array(pdf.sig.tolist(), np.int64).view(np.uint64).reshape(len(pdf), BITS, K // 64)  # numpy counts the bits of absolute values
-    ids, comp, side = pdf.id.to_numpy(), pdf.component.to_numpy(), pdf.side.to_numpy()
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    for i in left:
-        other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if side[i] == 2 else True)]
-        if not len(other):
-            continue
-        agree = K - np.bitwise_count(np.bitwise_or.reduce(sig[other] ^ sig[i], axis=1)).sum(1, dtype=np.int64)
-        good = other[(agree / K - 2.0**-BITS) / (1 - 2.0**-BITS) >= FLOOR]
-        out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in good]
-    return pd.DataFrame(out, columns=["b", "a"], dtype="int64")
-
-
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set, packed signature and band keys of every document."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sig array<long>, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sig binary, keys array<long>")
+
+
+def _blocks(n: Column, shingles: Column) -> Column:
+    """Into how many blocks members go, so that none holds many members or very large sets."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _deal(blocks: Column, *salt: Column) -> Column:
+    return F.pmod(F.xxhash64("id", "digest", *salt), blocks).cast("int")
 
 
 def links(docs: DataFrame, sketched: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) that join the classes' components, and (id, component) of the linked ones.
+    """Pairs (a, b) of ids that join the classes' components, and (id, component) of the joined ones.
 
     reps: (digest, id) per class of equal sets. An id with several texts has the links of each."""
-    signed = sketched.select("digest", F.col("doc_id").alias("id"), "sig", "keys").join(reps.hint("merge"), ["digest", "id"])
-    signed = materialize(signed.dropDuplicates(["digest", "id"]).select("id", "sig", "keys"))
-    rows = signed.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("id").alias("n")).where("n > 1")
-    members = materialize(rows.join(buckets.hint("merge"), "key").select("key", "n", "id"))
-    sig = signed.select("id", "sig")
-    # A bucket's pivot is its member with the most company in all buckets: in a group of copies that is their
-    # original, or whichever is nearest to most, and one star joins the group.
-    mass = members.groupBy("id").agg(F.sum("n").alias("mass"))
-    pivots = members.select("key", "id").join(mass.hint("merge"), "id").groupBy("key").agg(F.max(F.struct("mass", -F.col("id"))).alias("p")).select("key", (-F.col("p")["col2"]).alias("pivot"))
-    paired = members.select("key", "id").join(pivots.hint("merge"), "key").where("id <> pivot")
-    tested = materialize(paired.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct())
-    star = tested.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
-    near = materialize(star.where(estimate(F.col("sa"), F.col("sb")) >= FLOOR).select("a", "b").distinct())
-    confirmed = materialize(confirm(near, docs))
-    joined = components(confirmed)
-    # Buckets that hold several components, and members that were not all compared with each other.
-    labelled = members.join(joined.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = labelled.groupBy("key").agg(F.max("n").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo < hi").select("key")
-    split = labelled.join(open_.hint("merge"), "key").select("key", "id", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    split = split.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(o == F.col("block"), 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))
-    split = split.select("key", "id", "component", F.explode(meets).alias("m")).join(sig.hint("merge"), "id")
-    pairs = split.select("key", "id", "component", "sig", "m.i", "m.j", "m.side").groupBy("key", "i", "j").applyInPandas(_across, "b long, a long").distinct()
-    cross = materialize(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b"))
-    more = materialize(confirm(cross, docs))
+    signed = sketched.select("digest", F.col("doc_id").alias("id"), "n_shingles", "sig", "keys").join(reps.hint("merge"), ["digest", "id"])
+    signed = materialize(signed.dropDuplicates(["digest", "id"]))
+    rows = signed.select("id", "digest", "n_shingles", F.posexplode("keys").alias("band", "key")).withColumn("key", F.xxhash64("band", "key"))
+    # Buckets of the same members say the same: one of them is enough.
+    who = F.xxhash64("id", "digest")
+    buckets = rows.groupBy("key").agg(F.count("id").alias("n"), F.sum("n_shingles").alias("shingles"), F.bit_xor(who).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64(who), 24)).alias("y")).where("n > 1")
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("key", "shingles")).alias("m")).select("m.key", "n", "m.shingles")
+    members = materialize(rows.select("key", "id", "digest", "n_shingles").join(buckets.hint("merge"), "key"))
+    # First contract: each class meets others in its fullest buckets, in one block of each.
+    full = members.groupBy("id", "digest").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "key", "shingles")), asc=False), 1, FIRST).alias("m"))
+    first = full.select("id", "digest", F.col("id").alias("component"), F.explode("m").alias("m")).select("id", "digest", "component", "m.*")
+    first = first.withColumn("i", _deal(_blocks(F.col("n"), F.col("shingles")), F.col("key"))).withColumns({"j": F.col("i"), "side": F.lit(2)})
+    found = _search(first, signed, docs)
+    joined = components(found)
+    # Then all pairs of a bucket that lie in different components: the bucket's largest component against the
+    # others, block by block, and the others among themselves.
+    labelled = materialize(members.select("key", "id", "digest", "n_shingles").join(joined.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    parts = labelled.groupBy("key", "component").agg(F.count("id").alias("n"), F.sum("n_shingles").alias("shingles"))
+    open_ = parts.groupBy("key").agg(F.max(F.struct("n", "component", "shingles")).alias("top"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("key").alias("parts")).where("parts > 1")
+    open_ = open_.select("key", F.col("top.component").alias("largest"), _blocks(F.col("top.n"), F.col("top.shingles")).alias("bl"), _blocks(F.col("n") - F.col("top.n"), F.col("shingles") - F.col("top.shingles")).alias("bo"))
+    split = labelled.join(open_.hint("merge"), "key").withColumn("top", F.col("component") == F.col("largest")).withColumn("own", _deal(F.when(F.col("top"), F.col("bl")).otherwise(F.col("bo"))))
+    against = F.transform(F.sequence(F.lit(0), F.when(F.col("top"), F.col("bo")).otherwise(F.col("bl")) - 1), lambda o: F.struct(F.when(F.col("top"), o).otherwise(F.col("own")).alias("i"), (-1 - F.when(F.col("top"), F.col("own")).otherwise(o)).alias("j"), F.when(F.col("top"), 0).otherwise(1).alias("side")))
+    among = F.transform(F.sequence(F.lit(0), F.col("bo") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(o == F.col("own"), 2).when(F.col("own") < o, 0).otherwise(1).alias("side")))
+    meets = F.when(F.col("top"), against).otherwise(F.concat(against, among))
+    split = split.select("key", "id", "digest", "component", F.explode(meets).alias("m")).select("key", "id", "digest", "component", "m.*")
+    more = _search(split, signed, docs)
     if more.limit(1).count():
-        confirmed = confirmed.unionByName(more)
-        joined = components(confirmed)
-    for t in (signed, members, tested, near, cross):
+        found = found.unionByName(more)
+        discard_later, joined = joined, components(found)
+        discard(discard_later)
+    for t in (signed, members, labelled):
         discard(t)
-    return confirmed, joined
+    return found, joined
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -247,10 +304,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     named = reps.join(joined.hint("merge"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     rows = sketched.select("doc_id", "n_shingles", "digest")
     out = rows.join(named.hint("merge"), "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component; one for an id. Rows with null ids stay."""
-    ids = dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The rows of docs, with all their columns, that stand for their component. Rows with null ids stay.
+
+    Of rows with one id that with the smallest text stays, of equal texts that with the smallest hash of the other columns."""
+    ids = dedup(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = materialize(ids)
+    once = docs.join(ids.where("n = 1").hint("merge"), "doc_id", "left_semi")
+    again = docs.join(ids.where("n > 1").hint("merge"), "doc_id", "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    least = again.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.xxhash64(*docs.columns))).alias("r")).select("r.*")
+    return once.unionByName(least).unionByName(docs.where("doc_id is null"))
