@@ -1,21 +1,25 @@
-"""Main text of web pages: structure first, then differencing against the nearest page of the host.
+"""Main text of web pages by differencing against the nearest pages of the host, with element structure as evidence.
 
 Parsing splits a page into blocks of text (lines) and marks each: *boilerplate* inside
 menus, headers, footers, asides, forms, adverts, notices, comments and the like (by
-element, role, class or id), *article* inside article or main elements, else *open*.
+element, role, class or id), *article* inside an article element, else *open*, also in main.
 Scripts, styles, comments and markup never reach a line.
 
-Differencing sorts pages by host and URL path (a range partitioning, so that a host with
-a third of all pages spreads over many tasks), pairs each page with the nearest pages
-around it, aligns their lines by longest common subsequence and deletes what they share.
-Lines of an article element are kept, as two pages may well quote the same paragraph; open lines are
-kept unless they are shared, whether the page has an article element or not. A neighbour that shares most
-of a page's text outside of boilerplate is a copy and says nothing about the frame, so the next one is asked.
-Pages without open lines are settled, and only serve as neighbours.
+Differencing orders pages by host and URL path, pairs each with the nearest page of its host
+that is no copy (shares at most COPY of its text outside of boilerplate) and aligns the lines
+of both by longest common subsequence. Shared open lines are deleted. Structure only vetoes:
+a shared article line stays, as two articles may well quote one paragraph, and a boilerplate
+line goes though no neighbour has it. Every page is aligned; n_shared tells with what result.
+
+Pages of a host with equal lines are one class and get one text. Classes lie in ranges, so that a
+host with a third of all pages spreads over many tasks; every range also gets the NEIGHBOURS
+classes before and after it, so texts do not depend on where ranges end. A class that finds
+only copies asks again after every run of copies has been reduced to its first member.
 
 Defined results: null html gives an empty text; a null url counts as the empty host and
 path; repeated pages are reported once each; an empty table gives an empty table; other
-columns are ignored. Cut-off pages end where they end: open elements are closed there.
+columns are ignored. Very long pages are read whole; their alignment is split in halves until
+its table fits. Cut-off pages end where they end: open elements are closed there.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches, materialize, small_batches
+from gridloom.llm.common import batches, discard, group_ranges, materialize, small_batches, whole_groups
 
 #: Fixed vocabularies of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,51 +44,71 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 FRAME = frozenset("nav aside footer header form dialog menu button label".split())
 FRAME_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-FRAME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|promos?|promotions?|sponsor(?:ed|s)?|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|"
+#: A word of a class or id that names a frame: these words alone, or as the last or first part of a compound.
+FRAME_WORDS = (
+    r"(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|promos?|promotions?|sponsor(?:ed|s)?|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|"
     r"topbar|cookies?|consent|gdpr|notices?|alerts?|newsletters?|subscribe|subscription|social|shar(?:e|ing)|related|recommend(?:ed|ations?)|comments?|commentlist|disqus|repl(?:y|ies)|respond|popups?|modals?|overlay|"
-    r"log-?in|sign-?up|search|pagination|pager|toolbar|widgets?|skip(?:-link)?|copyright|legal|tags|byline-links|teasers?)(?:$|[\s_\d-])",
-    re.I,
+    r"log-?in|sign-?up|search|pagination|pager|toolbar|widgets?|skip(?:-link)?|copyright|legal|tags|byline-links|teasers?)"
 )
+FRAME_NAME = re.compile(rf"(?:[a-z\d]+[_-])*{FRAME_WORDS}\d*(?:[_-](?:{FRAME_WORDS}|area|bar|block|bottom|box|card|column|container|feed|form|grid|content|inner|item|left|links?|list|main|note|outer|panel|primary|right|row|secondary|section|slot|text|top|unit|wrap(?:per)?|\d+))*", re.I)
+#: Parts that make a compound speak of a frame elsewhere: "no-sidebar", "has-header".
+LAYOUT_PART = re.compile(r"(?:^|[_-])(?:no|not|non|has|have|with|without|is|in|hide|show|page|site-main|post)[_-]", re.I)
+COMMENTS = re.compile(r"comment|disqus|repl(?:y|ies)|respond", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>")
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 OPEN, ARTICLE, BOILERPLATE = 0, 1, 2
-#: Pages asked on either side.
+#: Pages asked on either side at a time.
 NEIGHBOURS = 3
-#: Pages in a range; those at its ends find neighbours on one side only.
-PAGES_A_TASK = 2000
+#: Classes of pages in a range; texts do not depend on it.
+PAGES_A_TASK = 4000
 #: A neighbour sharing more of a page's open and article text than this is a copy.
 COPY = 0.8
 
 
-def _is_frame(name: str, attributes: str) -> bool:
-    if name in FRAME:
-        return True
-    if not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    for key, *values in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), "".join(values)
-        if key == "role" and value.lower() in FRAME_ROLE or key in ("class", "id") and FRAME_NAME.search(value):
-            return True
-    return False
+def _attributes(text: str) -> list[tuple[str, str]]:
+    return [(key.lower(), "".join(values)) for key, *values in ATTRIBUTE.findall(text)]
 
 
-def _is_named_frame(attributes: str) -> bool:
-    """Whether a word of an article's class or id begins with the name of a frame: "comment", "teaser-card", not "has-comments"."""
-    names = ("".join(values) for key, *values in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id"))
-    return any(FRAME_NAME.match(x) for name in names for x in name.split())
+def _names_frame(value: str) -> bool:
+    """Whether a word of a class or id names a frame: "comment", "site-footer", "ad-slot", not "no-sidebar" or "search-results"."""
+    return any(FRAME_NAME.fullmatch(x) and not LAYOUT_PART.search(x) for x in value.split())
+
+
+def _is_frame(name: str, attributes: list[tuple[str, str]]) -> str:
+    """Why an element is a frame: "element" (also by role, hidden, or as comments), "named" (by another class or id), else ""."""
+    if name in FRAME:
+        return "element"
+    named = ""
+    for key, value in attributes:
+        if key == "hidden" and value.lower() != "false" or key == "aria-hidden" and value.lower() == "true" or key == "style" and NO_DISPLAY.search(value) or key == "role" and value.lower() in FRAME_ROLE:
+            return "element"
+        if key in ("class", "id") and _names_frame(value):
+            named = "element" if COMMENTS.search(value) else named or "named"
+    return named
 
 
 def parse(page: str) -> list[tuple[str, int]]:
-    """The page's lines and their marks, in page order."""
+    """The page's lines and their marks, in page order.
+
+    A class or id around the page's only articles speaks of its layout, and is read as no frame,
+    unless it names comments or the page has more text outside of it."""
+    lines, around = _parse(page, frozenset())
+    if around and not any(mark == ARTICLE for _, mark in lines):
+        inside, _ = _parse(page, around)
+        if sum(len(t) for t, mark in lines if mark == OPEN) < sum(len(t) for t, mark in inside if mark == ARTICLE):
+            return inside
+    return lines
+
+
+def _parse(page: str, layout: frozenset[int]) -> tuple[list[tuple[str, int]], frozenset[int]]:
+    """Lines with marks, and where the named frames begin that hold article elements and are in no other frame."""
     lines: list[tuple[str, int]] = []
-    stack: list[tuple[str, str]] = []  # name, what it begins: "frame", "article" or ""
+    stack: list[tuple[str, str, int]] = []  # name, what it begins ("element", "named", "article" or ""), where
     frames = articles = 0
+    around: set[int] = set()
     parts: list[str] = []
     pos, n, quoted = 0, len(page), True
     lowered = None
@@ -99,7 +124,7 @@ def parse(page: str) -> list[tuple[str, int]]:
         nonlocal frames, articles
         while len(stack) > to:
             kind = stack.pop()[1]
-            frames -= kind == "frame"
+            frames -= kind in ("element", "named")
             articles -= kind == "article"
 
     while pos < n:
@@ -155,22 +180,25 @@ def parse(page: str) -> list[tuple[str, int]]:
             continue
         if name in CLOSES_P and stack and stack[-1][0] == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             pop(len(stack) - 1)
+        has = _attributes(attributes) if attributes else []
         kind = ""
-        if name == "article" and _is_named_frame(attributes):
-            kind = "frame"  # a comment, a teaser
-        elif name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody", attributes):
+        if name == "article" and any(key in ("class", "id") and _names_frame(value) for key, value in has):
+            kind = "element"  # a comment, a teaser
+        elif name == "article" or any(key == "itemprop" and value == "articleBody" for key, value in has):
             kind = "article"
-        elif name in ("html", "body"):
+            if frames and all(k != "element" for _, k, _ in stack):
+                around.update(at for _, k, at in stack if k == "named")
+        elif name in ("html", "body", "main") or any(key == "role" and value.lower() == "main" for key, value in has):
             pass
         elif name == "header" and articles and not frames:
             pass  # the article's own head holds its title
-        elif _is_frame(name, attributes):
-            kind = "frame"
-        frames += kind == "frame"
+        elif i not in layout:
+            kind = _is_frame(name, has)
+        frames += kind in ("element", "named")
         articles += kind == "article"
-        stack.append((name, kind))
+        stack.append((name, kind, i))
     flush()
-    return lines
+    return lines, frozenset(around)
 
 
 def common(a: list[int], b: list[int]) -> np.ndarray:
@@ -237,92 +265,165 @@ def _line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) >> 1
 
 
-def _parsed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A page's text where no line of it is open, else its lines outside of boilerplate; and what all its lines are told by."""
+def _told(url: str | None, page: str | None) -> tuple[list[tuple[str, int]], str, str, bytes, list[int]]:
+    """A page's lines, host, path, the digest of its class, and what its lines are told by."""
+    lines = parse(page or "")
+    host, path = _place(url)
+    told = [_line_id(t) for t, _ in lines]
+    marks = bytes(k for _, k in lines)
+    return lines, host, path, xxhash.xxh3_128_digest(b"\0".join([host.encode("utf-8", "replace"), marks, np.array(told, np.int64).tobytes()])), told
+
+
+def _lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(it):
-        places = [_place(u) for u in b.column(1).to_pylist()]
-        pages = [parse(h or "") for h in b.column(2).to_pylist()]
-        settled = [all(k != OPEN for _, k in x) for x in pages]
+        rows = [_told(u, h) for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_pydict({
-            "page_id": b.column(0), "url": b.column(1), "host": pa.array([h for h, _ in places], pa.string()), "path": pa.array([p for _, p in places], pa.string()),
-            "text": pa.array(["\n".join(t for t, k in x if k == ARTICLE) if s else None for x, s in zip(pages, settled, strict=True)], pa.string()),
-            "body": pa.array([None if s else [t for t, k in x if k != BOILERPLATE] for x, s in zip(pages, settled, strict=True)], pa.list_(pa.string())),
-            "lines": pa.array([[_line_id(t) for t, _ in x] for x in pages], pa.list_(pa.int64())), "marks": pa.array([bytes(k for _, k in x) for x in pages], pa.binary()),
+            "digest": pa.array([r[3] for r in rows], pa.binary()), "host": pa.array([r[1] for r in rows], pa.string()), "path": pa.array([r[2] for r in rows], pa.string()),
+            "lines": pa.array([np.array(r[4], np.int64).tobytes() for r in rows], pa.binary()), "marks": pa.array([bytes(k for _, k in r[0]) for r in rows], pa.binary()),
+            "sizes": pa.array([np.array([len(t) for t, _ in r[0]], np.int32).tobytes() for r in rows], pa.binary()),
         })
 
 
-def _shared(page: dict, others: list[dict]) -> np.ndarray:
-    """Which of the page's lines outside of boilerplate are open, and its nearest neighbour which is no copy has them too."""
-    marks = np.frombuffer(page["marks"], np.uint8)
-    unsure, body = marks == OPEN, marks != BOILERPLATE
-    size = np.zeros(len(marks), np.int64)
-    size[body] = [len(x) for x in page["body"]]
-    total = size.sum()
-    for other in others if total else ():
-        if other["host"] != page["host"]:
-            continue
-        both = common(page["lines"], other["lines"])
-        if size[both].sum() <= COPY * total:
-            return (both & unsure)[body]
-    return np.zeros(len(page["body"]), bool)
+def _bodies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches(it):
+        rows = [_told(u, h) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        body = [[t for t, k in r[0] if k != BOILERPLATE] for r in rows]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[3] for r in rows], pa.binary()), pa.array(body, pa.list_(pa.string()))], ["page_id", "url", "digest", "body"])
 
 
-def main_text(page: dict, others: list[dict]) -> str:
-    return "\n".join(x for x, gone in zip(page["body"], _shared(page, others), strict=True) if not gone)
+class Told:
+    """What tells a class of pages, unpacked once."""
+
+    def __init__(self, row: dict):
+        self.row, self.host = row, row["host"]
+        self.lines = np.frombuffer(row["lines"], np.int64).tolist()
+        self.marks = np.frombuffer(row["marks"], np.uint8)
+        self.sizes = np.where(self.marks == BOILERPLATE, 0, np.frombuffer(row["sizes"], np.int32)).astype(np.int64)
+
+    def shared(self, other: Told) -> tuple[np.ndarray, bool]:
+        """Lines that the other has too, in one order, and whether these make the page a copy of it."""
+        both = common(self.lines, other.lines)
+        return both, bool(self.sizes[both].sum() > COPY * self.sizes.sum())
+
+
+def ask(page: Told, before: list[Told], after: list[Told]) -> tuple[np.ndarray | None, bool, bool]:
+    """Lines shared with the nearest page that is no copy; whether more pages must be asked; whether the page before is a copy.
+
+    before, after: by distance, nearest first, NEIGHBOURS at most."""
+    sides = [[x for x in side if x.host == page.host] for side in (before, after)]
+    shared, follows = None, False
+    for d in range(NEIGHBOURS):
+        for at, side in enumerate(sides):
+            if d < len(side) and (shared is None or not (d or at)):
+                both, copy = page.shared(side[d])
+                follows |= copy and not (d or at)
+                if not copy and shared is None:
+                    shared = both
+    more = shared is None and any(len(side) == NEIGHBOURS for side in sides)
+    return shared, more, follows
+
+
+_CLASS = "digest binary, host string, path string, lines binary, marks binary, sizes binary, asks boolean, offers boolean"
+
+
+def _numbered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class with its range, its place there, and how many that offer themselves stand before it."""
+    r, at, before = TaskContext.get().partitionId(), 0, 0
+    for b in batches(it):
+        offers = b.column("offers").to_numpy(zero_copy_only=False).astype(np.int64)
+        ahead = before + np.cumsum(offers) - offers
+        fields = [pa.array(np.full(b.num_rows, r, np.int32)), pa.array(np.arange(at, at + b.num_rows)), pa.array(ahead)]
+        yield pa.RecordBatch.from_arrays([*b.columns, *fields], [*b.schema.names, "r", "at", "ahead"])
+        at, before = at + b.num_rows, before + int(offers.sum())
 
 
 def _differenced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pages() -> Iterator[dict]:
-        for b in batches(it):
-            yield from b.to_pylist()
-
-    def result(rows: list[tuple]) -> pa.RecordBatch:
-        ids, urls, texts = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    window: list[dict] = []  # up to NEIGHBOURS before, the page, and as many after
-    at, rows, held = 0, [], 0
-
-    def one() -> None:
-        nonlocal held
-        page = window[at]
-        if page["body"] is None:  # settled; here for its neighbours
-            step()
-            return
-        order = [k for d in range(1, NEIGHBOURS + 1) for k in (at - d, at + d) if 0 <= k < len(window)]
-        text = main_text(page, [window[k] for k in order])
-        rows.append((page["page_id"], page["url"], text))
-        held += len(text)
-        step()
-
-    def step() -> None:
-        nonlocal at
-        at += 1
-        if at > NEIGHBOURS:
-            del window[0]
-            at -= 1
-
-    for page in pages():
-        window.append(page)
-        if len(window) - at > NEIGHBOURS:
-            one()
-        if held > 8 << 20 or len(rows) >= 1000:
-            yield result(rows)
-            rows, held = [], 0
-    while at < len(window):
-        one()
-    if rows:
-        yield result(rows)
+    """Answers for the classes of a range (side 0), which comes with those before (-1) and after it (1)."""
+    for t in whole_groups(it, 1, rows=1):
+        for a, b in group_ranges(t, 1):
+            out = []
+            window: list[Told] = []  # the offers around the page in turn
+            rows = (Told(x) for batch in t.slice(a, b - a).to_batches(max_chunksize=256) for x in batch.to_pylist())
+            waiting: list[tuple[Told, list[Told]]] = []  # pages that still miss offers after them
+
+            def answer(page: Told, before: list[Told], after: list[Told], out: list = out) -> None:
+                shared, more, follows = ask(page, before, after)
+                gone = None if shared is None else (shared & (page.marks == OPEN))[page.marks != BOILERPLATE]
+                out.append((page.row["digest"], page.row["asks"], more, follows, gone.tolist() if gone is not None and gone.any() else None, 0 if shared is None else int(shared.sum())))
+
+            after: list[list[Told]] = []
+            for x in rows:
+                if x.row["offers"]:
+                    for later in after:
+                        later.append(x)
+                    while waiting and len(after[0]) == NEIGHBOURS:
+                        answer(*waiting.pop(0), after.pop(0))
+                if x.row["side"] == 0:
+                    waiting.append((x, window[::-1]))
+                    after.append([])
+                if x.row["offers"]:
+                    window = [*window, x][-NEIGHBOURS:]
+            while waiting:
+                answer(*waiting.pop(0), after.pop(0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.binary(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.bool_()), pa.int64()))], ["digest", "asks", "more", "follows", "gone", "n_shared"])
+
+
+def _round(classes: DataFrame, n: int) -> DataFrame:
+    """(digest, asks, more, follows, gone, n_shared) of all classes, given who asks and who offers itself."""
+    order = ["host", "path", "digest"]
+    placed = materialize(classes.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_numbered, _CLASS + ", r int, at long, ahead long"))
+    # Of each range the first and last offers, and of the ranges around it as many as have them: windows over one row for each range.
+    offers = placed.where("offers")
+    last = offers.groupBy("r").agg(F.max("ahead").alias("last"))
+    ends = offers.select("r", "digest", "at", "ahead").join(last.hint("merge"), "r").where(F.expr(f"ahead < {NEIGHBOURS} or ahead > last - {NEIGHBOURS}"))
+    entry = F.struct("r", "at", "digest")
+    having = ends.groupBy("r").agg(F.collect_list(F.when(F.col("ahead") < NEIGHBOURS, entry)).alias("head"), F.collect_list(F.when(F.col("ahead") > F.col("last") - NEIGHBOURS, entry)).alias("tail"))
+    near = Window.orderBy("r")
+
+    def some(lists: str, first: int, to: int, ascending: bool) -> Column:
+        return F.slice(F.sort_array(F.flatten(F.collect_list(lists).over(near.rowsBetween(first, to))), asc=ascending), 1, NEIGHBOURS)
+
+    having = having.select("r", F.row_number().over(near).alias("g"), some("tail", 1 - NEIGHBOURS, 0, False).alias("before"), some("head", 0, NEIGHBOURS - 1, True).alias("after"))
+    every = placed.groupBy("r").agg(F.max("offers").alias("has")).withColumn("g", F.sum(F.col("has").cast("int")).over(near).cast("int"))
+    before = every.select("r", F.expr("g - int(has)").alias("g")).join(having.select("g", F.explode("before").alias("e")), "g").select("r", F.lit(-1).alias("side"), "e")
+    after = every.select("r", F.expr("g + 1").alias("g")).join(having.select("g", F.explode("after").alias("e")), "g").select("r", F.lit(1).alias("side"), "e")
+    halo = before.unionByName(after).select("r", "side", F.col("e.r").alias("at_r"), F.col("e.at").alias("at"), F.col("e.digest").alias("digest"))
+    told = ["digest", "host", "lines", "marks", "sizes", "asks", "offers"]
+    halo = halo.join(offers.select(*told).hint("merge"), "digest").select("r", "side", "at_r", "at", *told)
+    rows = placed.select("r", F.lit(0).alias("side"), F.col("r").alias("at_r"), "at", *told).unionByName(halo)
+    rows = rows.repartition(n, "r").sortWithinPartitions("r", "side", "at_r", "at")
+    out = materialize(rows.mapInArrow(_differenced, "digest binary, asks boolean, more boolean, follows boolean, gone array<boolean>, n_shared long"))
+    discard(placed)
+    return out
+
+
+def differences(classes: DataFrame) -> DataFrame:
+    """(digest, gone, n_shared) of every class (digest, host, path, lines, marks, sizes)."""
+    n = max(1, -(-classes.count() // PAGES_A_TASK))
+    answers = _round(classes.withColumns({"asks": F.lit(True), "offers": F.lit(True)}), n)
+    done = answers.where("asks and not more")
+    more, follow = answers.where("asks and more"), answers.where("follows").select("digest")
+    size = 0
+    while more.limit(1).count() and size < (size := follow.count()):
+        # Only copies were found: every run of copies is left with its first member, and those without an answer ask again.
+        asks, out = more.select("digest", F.lit(True).alias("asks")), follow.select("digest", F.lit(False).alias("offers"))
+        sequence = classes.join(asks.hint("merge"), "digest", "left").join(out.hint("merge"), "digest", "left")
+        answers = _round(sequence.withColumns({"asks": F.coalesce("asks", F.lit(False)), "offers": F.coalesce("offers", F.lit(True))}).where("asks or offers"), n)
+        done = done.unionByName(answers.where("asks and not more"))
+        more = answers.where("asks and more")
+        follow = materialize(follow.unionByName(answers.where("follows").select("digest")).distinct())
+    return done.unionByName(more).select("digest", "gone", "n_shared")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for every page (page_id, url, html)."""
-    spark = pages.sparkSession
-    small_batches(spark)
-    parsed = materialize(pages.select("page_id", "url", "html").mapInArrow(_parsed, "page_id long, url string, host string, path string, text string, body array<string>, lines array<long>, marks binary"))
-    n = max(1, -(-parsed.count() // PAGES_A_TASK))
-    # Settled pages stay where they are; only what tells their lines travels.
-    placed = parsed.select("page_id", F.when(F.col("body").isNotNull(), F.col("url")).alias("url"), "host", "path", "body", "lines", "marks")
-    placed = placed.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    texts = parsed.where("body is null").select("page_id", "url", "text").unionByName(placed.mapInArrow(_differenced, "page_id long, url string, text string"))
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    """page_id, url, text, n_chars and n_shared (lines that the nearest other page has too) for every page (page_id, url, html)."""
+    small_batches(pages.sparkSession)
+    told = pages.select("url", "html").mapInArrow(_lines, "digest binary, host string, path string, lines binary, marks binary, sizes binary")
+    first = F.min_by(F.struct("path", "lines", "marks", "sizes"), "path").alias("x")
+    classes = materialize(told.groupBy("digest", "host").agg(first).select("digest", "host", "x.*"))
+    found = differences(classes)
+    bodies = pages.select("page_id", "url", "html").mapInArrow(_bodies, "page_id long, url string, digest binary, body array<string>")
+    kept = F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.filter("body", lambda x, i: ~F.col("gone")[i]))
+    out = bodies.join(found.hint("merge"), "digest", "left").select("page_id", "url", F.array_join(kept, "\n").alias("text"), "n_shared")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")

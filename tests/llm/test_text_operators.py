@@ -251,6 +251,73 @@ def test_article_elements_do_not_hide_open_lines(spark):
     assert [got[i] for i in range(5)] == [story[0], story[1], f"{story[2]}\nCard 2 in words", story[3], story[4]]
 
 
+@pytest.mark.parametrize("a_task", [5, 4000])
+def test_pages_against_brute_force(spark, monkeypatch, a_task):
+    """Hosts of 1, 2 and 50 pages with shared open lines, a run of copies, a recrawl and a template; texts do not depend on ranges."""
+    rng = random.Random(8)
+    rows = []
+    for host, n in (("one", 1), ("two", 2), ("fifty", 50), ("copies", 30)):
+        for i in range(n):
+            story = "".join(f"<p>{words(rng, 30)}</p>" for _ in range(3))
+            if host == "copies" and i > 4:
+                story = "<p>the same story in many places, told at some length and more than once</p>" * 3 + f"<p>{i}</p>"
+            frame = f"<div>Home of {host}</div><div>Contact us</div>" if i % 3 else "<div>Contact us</div>"
+            if i % 2:
+                story = f"<article>{story}<p>Contact us</p></article>"
+            rows.append((len(rows), f"http://{host}.example/p/{i}", f"<nav>menu</nav>{frame}{story}<div>Imprint of {host}</div>"))
+    rows += [(900, rows[20][1], rows[20][2]), (901, None, None), (902, "http://empty.example/", ""), (903, rows[10][1] + "?again", rows[10][2])]
+
+    told, classes = {}, {}
+    for i, url, page in rows:
+        lines, host, path, digest, _ = html_text._told(url, page)
+        told[i] = digest
+        if digest not in classes or path < classes[digest][1]:
+            classes[digest] = (host, path, lines)
+    order = sorted(classes, key=lambda d: (classes[d][0], classes[d][1], d))
+    ids = {d: [html_text._line_id(t) for t, _ in classes[d][2]] for d in order}
+
+    def shared(a, b):
+        both = html_text.common(ids[a], ids[b])
+        size = [len(t) if k != html_text.BOILERPLATE else 0 for t, k in classes[a][2]]
+        return both, sum(x for x, s in zip(size, both, strict=True) if s) > html_text.COPY * sum(size)
+
+    answer, offers, asks = {}, list(order), list(order)
+    while asks:
+        left, out = [], set()
+        for d in sorted({*asks, *offers}, key=order.index):
+            at = order.index(d)
+            near = [[x for x in offers if order.index(x) < at][::-1][:3], [x for x in offers if order.index(x) > at][:3]]
+            near = [[x for x in side if classes[x][0] == classes[d][0]] for side in near]
+            if near[0] and shared(d, near[0][0])[1]:
+                out.add(d)
+            if d in asks:
+                seen = [shared(d, side[k])[0] for k in range(3) for side in near if k < len(side) and not shared(d, side[k])[1]]
+                answer[d] = seen[0] if seen else None
+                if not seen and any(len(side) == 3 for side in near):
+                    left.append(d)
+        if not out & set(offers):
+            break
+        asks, offers = left, [x for x in offers if x not in out]
+    monkeypatch.setattr(html_text, "PAGES_A_TASK", a_task)
+    got = html_text.extract(spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, host string, text int")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        d = told[r.page_id]
+        both = answer[d] if answer[d] is not None else [False] * len(ids[d])
+        want = "\n".join(t for (t, k), s in zip(classes[d][2], both, strict=True) if k != html_text.BOILERPLATE and not (s and k == html_text.OPEN))
+        assert (r.text, r.n_chars, r.n_shared) == (want, len(want), int(sum(both)))
+    text = {r.page_id: r.text for r in got}
+    assert text[20] == text[900] and "Contact us" in text[6] and "Imprint" not in text[6] and "Imprint of one" in text[0]
+
+
+def test_class_names_of_layout_keep_their_article():
+    for name in ("no-sidebar", "content with-sidebar", "has-header", "search-results", "post-tags", "related", "layout sidebar"):
+        lines = html_text.parse(f'<nav>x</nav><div class="{name}"><article><p>Story</p></article></div><div class="site-footer">f</div><div id=ad-slot-2>a</div>')
+        assert [t for t, k in lines if k != html_text.BOILERPLATE] == ["Story"], name
+    lines = html_text.parse('<p title="hidden gem">a</p><p data-hidden-x="1">b</p><p hidden>c</p><p style="display: none">d</p><p>story of more words</p><div id="comments"><article>e</article></div><article class="comment">q</article><aside class="related"><article>t</article></aside>')
+    assert [t for t, k in lines if k != html_text.BOILERPLATE] == ["a", "b", "story of more words"]
+
+
 def test_common_lines_are_longest():
     rng = random.Random(1)
     for _ in range(200):
