@@ -145,30 +145,32 @@ def windows(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(h)
 
 
-_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15
+#: Two polynomial hashes: a value for each byte, and a base.
+_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, (2, 256), np.uint64)
+_BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASE]
 #: Texts are hashed together up to so many bytes.
 CHUNK_BYTES = 4 << 20
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and _BASE**-i modulo 2**64 for i < n."""
-    if len(_POWERS[0]) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n."""
+    held = _POWERS[which]
+    if len(held[0]) < n:
         size = 1 << (n - 1).bit_length()
-        for j, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+        for j, base in enumerate((_BASE[which], pow(_BASE[which], -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
-            _POWERS[j] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+            held[j] = np.cumprod(p, dtype=np.uint64)
+    return held[0][:n], held[1][:n]
 
 
-def prefix_hashes(buf: np.ndarray) -> np.ndarray:
-    """Running polynomial hash: (out[e] - out[s]) * _BASE**-s stands for bytes s to e, wherever they are."""
+def prefix_hashes(buf: np.ndarray, which: int = 0) -> np.ndarray:
+    """Running polynomial hash: (out[e] - out[s]) * base**-s stands for bytes s to e, wherever they are."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * powers(len(buf))[0], out=out[1:])
+    np.cumsum(_BYTE[which][buf] * powers(len(buf), which)[0], out=out[1:])
     return out
 
 

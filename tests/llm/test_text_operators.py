@@ -139,17 +139,38 @@ def test_repeated_passages(spark, corpus):
     assert substring_dedup.remove_repeats(documents(spark, [])).collect() == []
 
 
-def test_index_family_keeps_few_levels():
+@pytest.mark.parametrize("bits", [64, 3])
+def test_index_family_answers_batches_before_it_adds_them(bits):
+    """Few levels, and the smallest id of each entry so far; with keys of 3 bits all but eight entries collide and the check decides."""
     rng = np.random.default_rng(1)
-    family, all_keys = substring_dedup.Family(), {}
+    family, seen = substring_dedup.Family(), {}
     for i in range(64):
-        keys = np.unique(rng.integers(0, 5000, 200).astype(np.uint64))
-        family.add(keys, np.full(len(keys), i))
+        check = rng.integers(0, 3000, 300).astype(np.uint64)
+        keys = check * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)
+        ids = np.sort(rng.integers(i * 10, i * 10 + 10, 300))
+        got = family.lowest(keys, check, ids)
+        for c, d in zip(check.tolist(), ids.tolist(), strict=True):
+            seen[c] = min(seen.get(c, d), d)
+        assert got.tolist() == [seen[c] for c in check.tolist()]
+    assert len(family.levels) <= 8 and sum(len(x[0]) for x in family.levels) == len(seen)
+    k, c, first, many, place = substring_dedup.first_of(keys, check, ids)
+    assert (c[place] == check).all() and (k[place] == keys).all()
+    assert {int(x): int(y) for x, y in zip(c, first, strict=True)} == {x: min(ids[check == x]) for x in check.tolist()}
+    low = substring_dedup.lowered(keys, check, ids, (k, c, np.full(len(k), -1)))
+    assert (low == -1).all() and (substring_dedup.lowered(keys, check + np.uint64(5000), ids, (k, c, np.full(len(k), -1))) == ids).all()
+
+
+def test_first_holder_hears_of_a_recurring_anchor_once():
+    rng = np.random.default_rng(2)
+    family, holders, told = substring_dedup.Family(), {}, Counter()
+    for i in range(40):
+        keys = np.unique(rng.integers(0, 2000, 60).astype(np.uint64))
+        many, segs, earlier = family.recurring(keys, np.full(len(keys), i))
         for k in keys.tolist():
-            all_keys.setdefault(k, i)
-    assert len(family.levels) <= 8
-    probe = np.arange(5000).astype(np.uint64)
-    assert {k: v for k, v in enumerate(family.scan(probe)[0].tolist()) if v < 2**62} == all_keys
+            holders.setdefault(k, []).append(i)
+        told.update((i, k) for k in keys[many].tolist())
+        told.update(zip(segs.tolist(), earlier.tolist(), strict=True))
+    assert told == Counter((i, k) for k, at in holders.items() if len(at) > 1 for i in at)
 
 
 def test_packing(spark, corpus):
