@@ -10,21 +10,28 @@ or repeated attempts are in no manifest and so are never read.
 Reading: members are checked (gzip CRC, header syntax, lengths, payload digest). After
 a failed check the reader looks for the next gzip magic or WARC version line that
 starts a valid record and goes on from there; the bytes in between are reported as a
-gap with their place and reason. Nothing after a damage is lost but the damaged record.
+gap with their place and reason. A member may hold many records: a bad one among them is a
+gap inside the member, and of a member that is cut short or fails its CRC the records are
+kept whose payload digest holds. Nothing is lost but the damaged records. read() gives
+records and gaps in one table, split() the two apart, and round_trip() logs its gaps.
 
 Defined results: null html is an empty payload; null url leaves out the target header
-and reads back as null; null page_id likewise; an empty table gives no archive and no
-row; other columns are ignored.
+and reads back as null; null page_id likewise; urls are written as they are, and once more in
+a header of their own where line breaks or outer spaces would not survive; a member, and so a
+very long payload, is held whole by the task that reads it; an empty table gives no archive
+and no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,9 +45,13 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+MEMBER = re.compile(rb"\x1f\x8b\x08")
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 #: Compressed bytes after which a task begins another archive.
 ROLL_BYTES = 64 << 20
 BLOCK = 1 << 20
+#: Members are unpacked in pieces of so many bytes; a piece that fails is tried again byte by byte.
+PIECE = 1 << 16
 #: The end of a plain record's header is looked for in steps that begin with this; only its own bounds end the search.
 HEADER = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
@@ -50,13 +61,13 @@ def record_id(page_id: int | None) -> str:
     return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}').urn}>"
 
 
-def header_value(text: str) -> str:
-    """A value that cannot break out of its header line."""
-    return text.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+#: Holds a target URI, percent-encoded where it would not survive in a header line.
+EXACT_URI = "X-Exact-Target-URI"
 
 
-def plain_value(text: str) -> str:
-    return text.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def url_headers(url: str) -> list[str]:
+    plain = re.sub(r"[\r\n]", "", url).strip()
+    return [f"WARC-Target-URI: {plain}"] + ([f"{EXACT_URI}: {quote(url, safe=':/?#[]@!$&()*+,;=')}"] if plain != url else [])
 
 
 def digest(payload: bytes) -> str:
@@ -69,7 +80,7 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
     block = http if refers_to is not None else http + payload
     head = [VERSION.decode(), f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {header_value(url)}")
+        head += url_headers(url)
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
@@ -82,13 +93,13 @@ class Damage(Exception):
     """A failed check."""
 
 
-def parse_record(data: bytes) -> tuple[dict, int]:
-    """The record at the start of data, and its length; Damage if a check fails."""
-    end = data.find(b"\r\n\r\n")
-    if not data.startswith(b"WARC/1.") or end < 0:
+def parse_record(data: bytes, begin: int = 0) -> tuple[dict, int]:
+    """The record at begin, and its length; Damage if a check fails. `verified` tells whether a digest covers its payload."""
+    end = data.find(b"\r\n\r\n", begin)
+    if not data.startswith(b"WARC/1.", begin) or end < 0:
         raise Damage("header")
     fields: dict[str, str] = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data[begin:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damage("header line")
@@ -98,12 +109,14 @@ def parse_record(data: bytes) -> tuple[dict, int]:
     except (KeyError, ValueError):
         raise Damage("content length") from None
     stop = end + 4 + size
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    if size < 0 or data[stop : stop + 4] != b"\r\n\r\n":
         raise Damage("record end")
     block, kind = data[end + 4 : stop], fields.get("warc-type", "")
-    out = {"record_type": kind, "url": None, "page_id": None, "refers_to": None, "payload_bytes": None, "payload_digest": None, "payload": None}
-    if "warc-target-uri" in fields:
-        out["url"] = plain_value(fields["warc-target-uri"])
+    out = {"record_type": kind, "url": None, "page_id": None, "refers_to": None, "payload_bytes": None, "payload_digest": None, "payload": None, "verified": False}
+    if EXACT_URI.lower() in fields:
+        out["url"] = unquote(fields[EXACT_URI.lower()])
+    else:
+        out["url"] = fields.get("warc-target-uri")
     try:
         for key, name in (("page_id", "x-page-id"), ("refers_to", "x-refers-to-page")):
             if name in fields:
@@ -118,10 +131,10 @@ def parse_record(data: bytes) -> tuple[dict, int]:
             if kind == "response":
                 if len(body) != out["payload_bytes"] or out["payload_digest"] not in ("", digest(body)):
                     raise Damage("payload digest")
-                out["payload"] = body
+                out["payload"], out["verified"] = body, out["payload_digest"] != ""
     except ValueError:
         raise Damage("number") from None
-    return out, stop + 4
+    return out, stop + 4 - begin
 
 
 class Source:
@@ -151,43 +164,64 @@ class Source:
                 break
         return out[:n]
 
-    def next_start(self, pos: int) -> int:
+    def next_start(self, pos: int, pattern: re.Pattern = START) -> int:
         """The next place at or after pos where a member or version line may begin; the size if none."""
         tail, at = b"", pos
         for part in self.from_(pos):
             data = tail + part
-            if m := START.search(data):
+            if m := pattern.search(data):
                 return at - len(tail) + m.start()
             at += len(part)
             tail = data[-9:]
         return self.size
 
 
-def member(source: Source, pos: int) -> tuple[bytes, int]:
-    """The gzip member at pos, and where it ends; its CRC is checked by zlib."""
+def member(source: Source, pos: int) -> tuple[bytes, int, str]:
+    """The bytes of the gzip member at pos as far as they unpack, where that ends, and the failed check ("" if none)."""
     d, out, used = zlib.decompressobj(31), [], 0
-    for part in source.from_(pos):
+    for block in source.from_(pos):
+        for k in range(0, len(block), PIECE):
+            part = block[k : k + PIECE]
+            before = d.copy()
+            try:
+                out.append(d.decompress(part))
+            except zlib.error:
+                for i in range(len(part)):  # what unpacks before the damage
+                    try:
+                        out.append(before.decompress(part[i : i + 1]))
+                    except zlib.error:
+                        return b"".join(out), pos + used + i, "gzip"
+            used += len(part) - len(d.unused_data)
+            if d.eof:
+                return b"".join(out), pos + used, ""
+    return b"".join(out), source.size, "truncated member"
+
+
+def in_member(data: bytes, failed: str) -> Iterator[tuple[str, dict, int, int]]:
+    """Records and gaps of unpacked bytes, with their places in them. Of a member that failed, records that a digest covers."""
+    pos, gap, reason = 0, None, ""
+    while pos < len(data):
         try:
-            out.append(d.decompress(part))
-        except zlib.error:
-            raise Damage("gzip") from None
-        used += len(part) - len(d.unused_data)
-        if d.eof:
-            return b"".join(out), pos + used
-    raise Damage("truncated member")
-
-
-def at(source: Source, pos: int) -> tuple[list[dict], int]:
-    """The records of the member or plain record at pos, and where it ends."""
-    head = source.take(pos, 3)
-    if head == MAGIC:
-        data, end = member(source, pos)
-        records, used = [], 0
-        while used < len(data):
-            record, n = parse_record(data[used:] if used else data)
-            records.append(record)
-            used += n
-        return records, end
+            record, n = parse_record(data, pos)
+            if failed and not record["verified"]:
+                raise Damage(failed)
+        except Damage as e:
+            if gap is None:
+                gap, reason = pos, str(e)
+            m = VERSION_LINE.search(data, pos + 1)
+            pos = m.start() if m else len(data)
+            continue
+        if gap is not None:
+            yield "gap", {"reason": reason}, gap, pos
+            gap = None
+        yield "record", record, pos, pos + n
+        pos += n
+    if gap is not None:
+        yield "gap", {"reason": reason}, gap, len(data)
+
+
+def plain(source: Source, pos: int) -> tuple[dict, int]:
+    """The uncompressed record at pos, and where it ends."""
     head, n = source.take(pos, HEADER), HEADER
     if not head.startswith(b"WARC/1."):
         raise Damage("no record here")
@@ -202,26 +236,43 @@ def at(source: Source, pos: int) -> tuple[list[dict], int]:
     if pos + need > source.size:
         raise Damage("truncated record")
     record, n = parse_record(source.take(pos, need))
-    return [record], pos + n
+    return record, pos + n
 
 
 def salvage(source: Source) -> Iterator[tuple[str, dict, int, int]]:
-    """("record", fields, start, end) and ("gap", {"reason"}, start, end) in file order."""
+    """("record", fields, start, end) and ("gap", {"reason"}, start, end) in file order.
+
+    Gaps inside a sound member have its place in the file, and their own in it as inner_start and inner_end."""
     pos, gap, reason = 0, None, ""
     while pos < source.size:
-        try:
-            records, end = at(source, pos)
-        except Damage as e:
-            if gap is None:
-                gap, reason = pos, str(e)
-            pos = source.next_start(pos + 1)
-            continue
-        if gap is not None:
+        found: list[tuple[str, dict, int, int]] = []
+        failed, after = "", pos + 1
+        if source.take(pos, 3) == MAGIC:
+            data, end, failed = member(source, pos)
+            found = list(in_member(data, failed))
+            if failed:
+                found = [x for x in found if x[0] == "record"]
+                # Text in a member's stored blocks is no plain record; only another member may begin in what was unpacked.
+                after = min(source.next_start(pos + 1, MEMBER), max(end, pos + 1))
+            elif not any(kind == "record" for kind, *_ in found):
+                failed, found = (found[0][1]["reason"] if found else "no record here"), []
+        else:
+            try:
+                record, end = plain(source, pos)
+                found = [("record", record, pos, end)]
+            except Damage as e:
+                failed = str(e)
+        if gap is not None and found:
             yield "gap", {"reason": reason}, gap, pos
             gap = None
-        for r in records:
-            yield "record", r, pos, end
-        pos = end
+        for kind, fields, a, b in found:
+            yield kind, fields | ({"inner_start": a, "inner_end": b} if kind == "gap" else {}), pos, end
+        if failed:
+            if gap is None:
+                gap, reason = pos, failed
+            pos = source.next_start(after)
+        else:
+            pos = end
     if gap is not None:
         yield "gap", {"reason": reason}, gap, source.size
 
@@ -279,8 +330,8 @@ def write(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return materialize(joined.select("page_id", "url", "payload", refers.alias("refers_to")).mapInArrow(_writer(folder), "path string, n_records long, n_bytes long"))
 
 
-READ = "kind string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, start long, end long, reason string, payload binary"
-_ARROW = pa.schema([("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("payload", pa.binary())])
+READ = "kind string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, start long, end long, inner_start long, inner_end long, reason string, payload binary"
+_ARROW = pa.schema([("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("inner_start", pa.int64()), ("inner_end", pa.int64()), ("reason", pa.string()), ("payload", pa.binary())])
 
 
 def _reader(with_payload: bool):
@@ -316,7 +367,15 @@ def read_files(spark: SparkSession, paths: list[str], with_payload: bool = False
     return read(spark.createDataFrame([(p,) for p in paths], "path string"), with_payload)
 
 
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What read() gives as records, and as the log of quarantined gaps (path, start, end, inner_start, inner_end, reason)."""
+    return rows.where("kind = 'record'").drop("kind", "inner_start", "inner_end", "reason"), rows.where("kind = 'gap'").select("path", "start", "end", "inner_start", "inner_end", "reason")
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write every page, read the archives back, one row per record."""
-    rows = read(write(pages, min_bytes))
-    return rows.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Write every page, read the archives back, one row per record. Gaps are logged; archives just written have none."""
+    records, gaps = split(materialize(read(write(pages, min_bytes))))
+    lost = gaps.agg(F.count("path").alias("n"), F.sum(F.col("end") - F.col("start")).alias("size")).first()
+    if lost.n:
+        logging.getLogger(__name__).warning("%d gaps of %d bytes; %s", lost.n, lost.size, gaps.limit(20).collect())
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import zlib
 
 from gridloom.llm import warc
@@ -61,3 +62,37 @@ def test_salvage_of_plain_records():
     cut = data.index(b"Content-Length", sum(map(len, records[:2])))
     data[cut : cut + 14] = b"Content-Lxngth"
     assert [x[0] for x in told(data)] == [0, 1, "gap", 3, 4, "gap", 6, 7]
+
+
+def test_salvage_inside_members():
+    """A bad record among others in one member, a member cut short, and one whose CRC fails."""
+    records = [warc.encode_record(i, f"http://a/{i}", bytes(random.Random(i).randbytes(3000)), 0 if i == 2 else None) for i in range(6)]
+    bad = bytearray(records[3])
+    bad[-100] ^= 0xFF
+    found = told(gz(b"".join([*records[:3], bad, *records[4:]])) + gz(records[0]))
+    assert [x[0] for x in found] == [0, 1, 2, "gap", 4, 5, 0]
+    data = gz(b"".join([*records[:3], bad, *records[4:]]))
+    inner = [f for kind, f, *_ in warc.salvage(warc.Source(lambda n, pos: data[pos : pos + n], len(data))) if kind == "gap"]
+    assert (inner[0]["inner_start"], inner[0]["inner_end"]) == (sum(map(len, records[:3])), sum(map(len, records[:4]))) and inner[0]["reason"] == "payload digest"
+    whole = gz(b"".join(records))
+    assert [x[0] for x in told(whole[:-9])] == [0, 1, 3, 4, 5, "gap"] or [x[0] for x in told(whole[:-9])] == [0, 1, 3, 4, "gap"]
+    assert [x[0] for x in told(whole[: len(whole) // 2])][:2] == [0, 1] and told(whole[: len(whole) // 2])[-1][0] == "gap"
+    wrong = bytearray(whole)
+    wrong[-6] ^= 1  # the CRC: records that a digest covers are kept, the revisit is not
+    assert [x[0] for x in told(bytes(wrong) + gz(records[2]))] == [0, 1, 3, 4, 5, "gap", 2]
+    stored = zlib.compressobj(0, wbits=31)
+    stored = bytearray(stored.compress(b"".join(records)) + stored.flush())
+    stored[-6] ^= 1
+    assert [x[0] for x in told(bytes(stored))] == [0, 1, 3, 4, 5, "gap"]  # once each, though the text lies open
+
+
+def test_urls_are_written_as_they_are(spark):
+    urls = {1: "http://a/b%20c%2520d", 2: "http://a/x\r\nWARC-Type: y", 3: " http://a/ ", 4: "", 5: None, 6: "http://é/%"}
+    record = warc.encode_record(1, urls[1], b"p", None)
+    assert b"WARC-Target-URI: http://a/b%20c%2520d\r\n" in record
+    pages = spark.createDataFrame([(i, u, str(i), "clash", 1) for i, u in urls.items()], "page_id long, url string, html string, kind string, path int")
+    rows = warc.read(warc.write(pages))
+    records, gaps = warc.split(rows)
+    assert {r.page_id: r.url for r in records.collect()} == urls and gaps.collect() == []
+    foreign = record.replace(b"b%20c%2520d", b"%0A%25")
+    assert next(warc.salvage(warc.Source(lambda n, pos: foreign[pos : pos + n], len(foreign))))[1]["url"] == "http://a/%0A%25"
