@@ -6,9 +6,12 @@ inflected languages share a stem), hashed to BUCKETS. The machine scores
 over the terms present, so that a pair such as an insult with a group mention can weigh
 more than its parts. It is fitted on at most TRAIN_ROWS labelled rows (those with the
 smallest hash of their id, so the same rows whatever the partitions; so many of either
-class) by AdaGrad on the logistic loss; the bias is then set back from the sample's rate of
-toxic rows to that of all labelled rows. Only terms whose share among
-toxic and other rows of that sample differs by SCREEN standard errors take part; the
+class) by AdaGrad on the logistic loss, with a share of the terms left out in every other epoch; the bias is then set back from the sample's rate of
+toxic rows to that of all labelled rows. Terms take part whose share among
+toxic and other rows of that sample differs by SCREEN standard errors, and terms of a pair
+whose rows differ by PAIR_SCREEN standard errors from what its two terms say each by itself: a
+pair counts though its parts are neutral. Pairs are tested in blocks of terms, a task for each
+two blocks, among terms in at least PAIR_SHARE of the sample; no list of pairs is made. The
 others weigh nothing. The fitted weights, bounded by ACTIVE terms, go to every task.
 
 Labels, language, source and id are never inputs of a score. Defined results: null and
@@ -37,11 +40,19 @@ PREFIX = 4
 TRAIN_ROWS = 8000
 SCREEN = 4.0
 ACTIVE = 1 << 15
+PAIR_SCREEN = 6.0
+#: Rows of the sample that hold a term, as a share and at least, for it to be tested in pairs; and rows that hold a pair.
+PAIR_SHARE = 0.005
+PAIR_ROWS = 16
+#: Terms in a block, and rows multiplied at a time.
+PAIR_BLOCK = 1024
 FACTORS = 8
 EPOCHS = 40
 BATCH = 256
 RATE = 0.1
 DECAY = 1e-4
+#: Share of terms left out in every other epoch.
+DROP = 0.5
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -98,13 +109,16 @@ def _fit(index: np.ndarray, lists: list[np.ndarray], y: np.ndarray) -> Machine:
     m = Machine(float(np.log(rate / (1 - rate))), index, np.zeros(len(index)), rng.normal(0, 0.01, (len(index), FACTORS)))
     edges = np.searchsorted(rows, np.arange(n + 1))
     gb, gw, gv = 1e-6, np.full(len(index), 1e-6), np.full((len(index), FACTORS), 1e-6)
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
         order = rng.permutation(n)
         for begin in range(0, n, BATCH):
             own = order[begin : begin + BATCH]
             size = edges[own + 1] - edges[own]
             r = np.repeat(np.arange(len(own)), size)
             where = at[np.repeat(edges[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+            if epoch % 2:  # a term must also count where others that come with it are absent
+                stay = rng.random(len(where)) >= DROP
+                r, where = r[stay], where[stay]
             slope = (1 / (1 + np.exp(-np.clip(m.margin(r, where, len(own)), -30, 30))) - y[own]) / len(own) * 32
             g = slope.sum()
             gb += g * g
@@ -128,6 +142,67 @@ def _fit(index: np.ndarray, lists: list[np.ndarray], y: np.ndarray) -> Machine:
     return m
 
 
+def pair_terms(rows: list[np.ndarray], y: np.ndarray, d: int, i: int, j: int) -> np.ndarray:
+    """Of two blocks of terms, those with a pair that says more than its parts. rows: places of the terms, below d, in each row."""
+    n, rate = len(y), y.mean()
+    starts = (i * PAIR_BLOCK, j * PAIR_BLOCK)
+    sizes = [min(PAIR_BLOCK, d - s) for s in starts]
+    count, toxic = np.zeros(sizes, np.float32), np.zeros(sizes, np.float32)
+    df, sums = [np.zeros(m) for m in sizes], [np.zeros(m) for m in sizes]
+    for at in range(0, n, PAIR_BLOCK):
+        part, own = rows[at : at + PAIR_BLOCK], y[at : at + PAIR_BLOCK].astype(np.float32)
+        x = []
+        for k, (begin, m) in enumerate(zip(starts, sizes, strict=True)):
+            dense = np.zeros((len(part), m), np.float32)
+            flat = np.concatenate(part)
+            of = np.repeat(np.arange(len(part)), [len(r) for r in part])
+            here = (flat >= begin) & (flat < begin + m)
+            dense[of[here], flat[here] - begin] = 1
+            df[k] += dense.sum(0)
+            sums[k] += own @ dense
+            x.append(dense)
+        count += x[0].T @ x[1]
+        toxic += (x[0] * own[:, None]).T @ x[1]
+    effect = [s / np.maximum(f, 1) - rate for f, s in zip(df, sums, strict=True)]
+    expected = np.clip(rate + effect[0][:, None] + effect[1][None, :], 0, 1)
+    z = np.abs(toxic - count * expected) / np.sqrt(count * rate * (1 - rate) + 0.5)
+    good = (z >= PAIR_SCREEN) & (count >= PAIR_ROWS)
+    if i == j:
+        np.fill_diagonal(good, False)
+    return np.unique(np.concatenate([np.flatnonzero(good.any(1)) + starts[0], np.flatnonzero(good.any(0)) + starts[1]]))
+
+
+def paired(sample: DataFrame, frequent: np.ndarray, y_rate: float) -> np.ndarray:
+    """Of the frequent terms, those that some pair shows. The sample is bounded, so its rows of frequent terms go to every task."""
+    spark = sample.sparkSession
+    if not len(frequent) or not 0 < y_rate < 1:
+        return np.zeros(0, np.int32)
+    got = sorted((r.h, bytes(r["at"]), r.y) for r in sample.mapInArrow(_places(frequent), "h long, at binary, y double").collect())
+    shared = spark.sparkContext.broadcast(([np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for *_, y in got], float)))
+    d = len(frequent)
+    blocks = -(-d // PAIR_BLOCK)
+    two = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            for k in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(pair_terms(*shared.value, d, *two[k]).astype(np.int32))], ["t"])
+
+    out = [r.t for r in spark.range(0, len(two), 1, len(two)).mapInArrow(run, "t int").distinct().collect()]
+    return frequent[np.array(sorted(out), np.int64)]
+
+
+def _places(index: np.ndarray):
+    """The places in index, sorted, of each row's terms."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            out = [np.searchsorted(index, x[np.isin(x, index)]).astype(np.int32).tobytes() for x in (np.array(t, np.int32) for t in b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_pydict({"h": b.column(0), "at": pa.array(out, pa.binary()), "y": b.column(2)})
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Machine:
     """labels: (doc_id, y) to learn from where `train` holds."""
     small_batches(docs.sparkSession)
@@ -138,20 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Machine:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(h.alias("h"), "text", "y")  # at most 2 * TRAIN_ROWS rows of two numbers
     sample = materialize(rows.mapInArrow(_terms, "h long, terms array<int>, y double"))
     size = sample.agg(F.count("y").alias("n"), F.sum("y").alias("positive")).first()
-    rate = F.lit((size.positive or 0.0) / max(size.n, 1))
-    seen = sample.select(F.explode("terms").alias("t"), "y").groupBy("t").agg(F.count("y").alias("df"), F.sum("y").alias("toxic"))
+    y_rate = (size.positive or 0.0) / max(size.n, 1)
+    rate = F.lit(y_rate)
+    seen = materialize(sample.select(F.explode("terms").alias("t"), "y").groupBy("t").agg(F.count("y").alias("df"), F.sum("y").alias("toxic")))
     z = F.abs((F.col("toxic") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate) + 0.5))
-    strong = seen.where((F.col("df") >= 2) & (z >= SCREEN)).orderBy(z.desc(), "t").limit(ACTIVE).select("t").collect()
-    index = np.array(sorted(r.t for r in strong), np.int32)
-
-    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
-            out = [np.searchsorted(index, x[np.isin(x, index)]).astype(np.int32).tobytes() for x in (np.array(t, np.int32) for t in b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pydict({"h": b.column(0), "at": pa.array(out, pa.binary()), "y": b.column(2)})
-
+    strong = [r.t for r in seen.where((F.col("df") >= 2) & (z >= SCREEN)).orderBy(z.desc(), "t").limit(ACTIVE).select("t").collect()]
+    frequent = [r.t for r in seen.where(F.col("df") >= max(PAIR_ROWS, PAIR_SHARE * size.n)).select("t").collect()]
+    index = np.union1d(np.array(strong, np.int32), paired(sample, np.array(sorted(frequent), np.int32), y_rate)).astype(np.int32)
     total = known.agg(F.count_if(F.col("y") > 0.5).alias("toxic"), F.count_if(F.col("y") <= 0.5).alias("other")).first()
-    got = sorted((r.h, bytes(r["at"]), r.y) for r in sample.mapInArrow(places, "h long, at binary, y double").collect())
+    got = sorted((r.h, bytes(r["at"]), r.y) for r in sample.mapInArrow(_places(index), "h long, at binary, y double").collect())
     discard(sample)
+    discard(seen)
     m = _fit(index, [np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for *_, y in got], float))
     # A class of which only one row in n was taken stands n times too low in the odds.
     m.bias += np.log(max(1.0, total.toxic / TRAIN_ROWS)) - np.log(max(1.0, total.other / TRAIN_ROWS))
