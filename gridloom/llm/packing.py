@@ -16,12 +16,14 @@ ranks, so a length that a third of all pieces share spreads over many tasks.
 
 Defined results: null and empty texts are the end token alone; repeated documents are
 packed once each; null ids are packed as they are; an empty table gives an empty table;
-other columns are ignored.
+other columns are ignored; very long texts are tokenized whole and cut into pieces.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -52,6 +54,15 @@ SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 
 
+def _unsettled() -> re.Pattern:
+    """Code points that Unicode 3.2 left unassigned: libraries whose tables differ in age may class these differently."""
+    old = unicodedata.ucd_3_2_0
+    open_ = [c for c in range(0x100, sys.maxunicode + 1) if old.category(chr(c)) == "Cn"]
+    starts = [c for i, c in enumerate(open_) if i == 0 or open_[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(open_) if i + 1 == len(open_) or open_[i + 1] != c + 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
@@ -67,6 +78,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.normalizer = self.tokenizer.normalizer
         self.known: dict[str, bytes] = {}
+        self.unsettled = _unsettled()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -95,8 +107,11 @@ class Encoder:
             for w in words:
                 self.known[w] = self._ids(w)
 
+    def _whole(self, text: str | None) -> bool:
+        return bool(text) and (any(c in text for c in WHOLE) or not text.isascii() and self.unsettled.search(text) is not None)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        whole = [bool(t) and any(c in t for c in WHOLE) for t in texts]
+        whole = [self._whole(t) for t in texts]
         words = [[] if w or not t else self._words(t) for t, w in zip(texts, whole, strict=True)]
         if len(self.known) > self.LIMIT:
             self.known.clear()
@@ -200,7 +215,7 @@ def _round(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["kind", "size", "first", "n", "seq", "each", "room"])
 
 
-def plan(runs: DataFrame, capacity: int) -> DataFrame:
+def plan(runs: DataFrame, capacity: int, runs_a_task: int = RUNS_A_TASK) -> DataFrame:
     """Placements (size, first, n, seq, each, room) for runs of pieces (size, n)."""
     spark = runs.sparkSession
     state = materialize(runs.select(F.lit(_DOC).alias("kind"), F.col("size").cast("long").alias("size"), F.lit(0).cast("long").alias("first"), "n", *[F.lit(0).cast("long").alias(c) for c in ("seq", "each", "room")]))
@@ -215,7 +230,7 @@ def plan(runs: DataFrame, capacity: int) -> DataFrame:
             more = -(-int(docs.tokens) // capacity)
             active = active.unionByName(spark.createDataFrame([(_GAP, capacity, opened, more, 0, 0, 0)], _STATE))
             opened += more
-            tasks = 1 + sum(r.runs for r in rest if r.kind != _PLACED) // RUNS_A_TASK
+            tasks = 1 + sum(r.runs for r in rest if r.kind != _PLACED) // runs_a_task
         else:
             tasks //= 2
         ranged = active.repartitionByRange(tasks, "size", "first") if tasks > 1 else active.coalesce(1)
@@ -231,18 +246,18 @@ def plan(runs: DataFrame, capacity: int) -> DataFrame:
     return out.where(F.col("kind") == _PLACED)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = TOKENIZER, runs_a_task: int = RUNS_A_TASK) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset for every piece."""
     rows = materialize(pieces(docs, capacity, end_id, tokenizer))
     by_part = rows.groupBy("length", "part").agg(F.count("nth").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     by_part = materialize(by_part.withColumn("before", F.coalesce(before, F.lit(0))))
-    placed = plan(by_part.groupBy(F.col("length").alias("size")).agg(F.sum("n").alias("n")), capacity)
-    ranked = rows.join(by_part.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    placed = plan(by_part.groupBy(F.col("length").alias("size")).agg(F.sum("n").alias("n")), capacity, runs_a_task)
+    ranked = rows.join(by_part.select("length", "part", "before").hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / RANKS))
     last = F.floor((F.col("first") + F.col("n") - 1) / RANKS)
     runs = placed.select(F.col("size").alias("length"), "first", "n", "seq", "each", "room", F.explode(F.sequence(F.floor(F.col("first") / RANKS), last)).alias("block"))
-    found = ranked.join(runs, (ranked["length"] == runs["length"]) & (ranked["block"] == runs["block"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))).drop(runs["length"])
+    found = ranked.join(runs.hint("merge"), (ranked["length"] == runs["length"]) & (ranked["block"] == runs["block"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))).drop(runs["length"])
     nth = F.col("rank") - F.col("first")
     offset = F.lit(capacity) - F.col("room") + nth % F.col("each") * F.col("length")
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))

@@ -196,6 +196,39 @@ def test_packing(spark, corpus):
     assert packing.pack(documents(spark, []), capacity=64).collect() == []
 
 
+def test_token_ids_over_all_of_unicode():
+    """Words of every code point, and random texts, have the ids of texts encoded whole."""
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    t, own = tokenizers.Tokenizer.from_file(path), packing.Encoder(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and not (0x3400 <= c <= 0xD7A3 or 0x20000 <= c) or c % 97 == 0 and not 0xD800 <= c <= 0xDFFF]
+    rng = random.Random(5)
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1" for c in points[i : i + 20]) for i in range(0, len(points), 20)]
+    texts += ["".join(chr(rng.choice(points)) for _ in range(30)) for _ in range(2000)] + ["\u208f \u058b x"]
+    for text, got in zip(texts, own.encode_all(texts), strict=True):
+        assert got == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_rounds_over_many_ranges(spark):
+    """Runs dealt over many tasks: every piece is placed once, no sequence overflows, and hardly more are opened than in one task."""
+    rng = random.Random(12)
+    runs = [(size, rng.randint(1, 9)) for size in range(1, 1001)]
+    frame = spark.createDataFrame(runs, "size long, n long")
+    opened = {}
+    for a_task in (100, 10**6):
+        rows = packing.plan(frame, 1000, a_task).collect()
+        ranks, room = Counter(), Counter()
+        for r in rows:
+            for k in range(r.n):
+                ranks[r.size, r.first + k] += 1
+                room[r.seq + k // r.each] += r.size
+        assert set(ranks.values()) == {1} and len(ranks) == sum(n for _, n in runs) and max(room.values()) <= 1000
+        opened[a_task] = len(room)
+    least = sum(s * n for s, n in runs) / 1000
+    assert opened[10**6] <= 1.02 * least + 2 and opened[100] <= 1.05 * least + 2
+
+
 def test_sweep_takes_the_smallest_gap_that_holds():
     left, gaps, placed = packing.sweep([(5, 0, 3), (9, 0, 1)], [(6, 10, 1), (11, 20, 2)])
     assert not left and {(p[0], p[3]) for p in placed} == {(9, 20), (5, 10), (5, 21)}
@@ -422,6 +455,31 @@ def test_classifiers_on_held_out_rows(spark):
     assert {r.score for r in quality.classify(docs, known.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_of_a_pair_whose_parts_are_neutral(spark):
+    rng = random.Random(23)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join([*words(rng, 15).split(), *["alpha"] * a, *["omega"] * b])))
+        labels.append((i, int(a != b)))
+    got = toxicity.classify(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 400 and sum(r.predicted == labels[r.doc_id][1] for r in held) > 0.95 * len(held)
+
+
+@pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_on_odd_tables(spark, module, label):
+    """Empty tables, repeated rows, repeated labels, null ids, clashing columns and a very long text."""
+    known = spark.createDataFrame([(i, i % 2, None) for i in range(40)] + [(3, 1, None), (None, 1, None)], f"doc_id long, {label} int, text string")
+    assert module.classify(documents(spark, []), known).collect() == []
+    rows = [(i, "cursed words here" if i % 2 else "plain words here.") for i in range(40)]
+    rows += [(5, "cursed words here"), (None, "no id"), (100, "word " * 400_000), (101, None), (102, " ")]
+    got = module.classify(documents(spark, rows), known).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    assert all(r.score is not None and 0 <= r.score <= 1 and r.predicted in (0, 1) and r.held_out is not None for r in got)
+    assert len({r.score for r in got if r.doc_id == 5}) == 1
+
+
 def test_toxic_scores_follow_the_rate_of_all_labels(spark, monkeypatch):
     rng = random.Random(14)
     labels = [(i, int(i % 9 == 0)) for i in range(3600)]
