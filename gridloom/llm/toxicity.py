@@ -6,7 +6,7 @@ inflected languages share a stem), hashed to BUCKETS. The machine scores
 over the terms present, so that a pair such as an insult with a group mention can weigh
 more than its parts. It is fitted on at most TRAIN_ROWS labelled rows (those with the
 smallest hash of their id, so the same rows whatever the partitions; so many of either
-class) by AdaGrad on the logistic loss, with a share of the terms left out in every other epoch; the bias is then set back from the sample's rate of
+class) by AdaGrad on the logistic loss; the bias is then set back from the sample's rate of
 toxic rows to that of all labelled rows. Terms take part whose share among
 toxic and other rows of that sample differs by SCREEN standard errors, and terms of a pair
 whose rows differ by PAIR_SCREEN standard errors from what its two terms say each by itself: a
@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches, discard, materialize, small_batches
+from gridloom.llm.common import STEP, batches, discard, materialize, raw, small_batches
+from gridloom.llm.near_dedup import shingle_sets
 
 BUCKETS = 1 << 20
 PREFIX = 4
@@ -51,8 +52,6 @@ EPOCHS = 40
 BATCH = 256
 RATE = 0.1
 DECAY = 1e-4
-#: Share of terms left out in every other epoch.
-DROP = 0.5
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -77,7 +76,10 @@ def ragged(lists: list) -> pa.Array:
 def _terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms()
     for b in batches(it):
-        yield pa.RecordBatch.from_pydict({"h": b.column(0), "terms": ragged([terms.of(t) for t in b.column(1).to_pylist()]), "y": b.column(2)})
+        sets = shingle_sets(raw(b.column(1)))
+        # Rows with a least shingle in common are taken for copies, by either of two orders of the shingles.
+        least = [[int(s.min()) >> 1, int((s * STEP[1]).min()) >> 1] if len(s) else [-1, -1] for s in sets]
+        yield pa.RecordBatch.from_pydict({"h": b.column(0), "terms": ragged([terms.of(t) for t in b.column(1).to_pylist()]), "least": pa.array(least, pa.list_(pa.int64())), "y": b.column(2)})
 
 
 @dataclass
@@ -109,16 +111,13 @@ def _fit(index: np.ndarray, lists: list[np.ndarray], y: np.ndarray) -> Machine:
     m = Machine(float(np.log(rate / (1 - rate))), index, np.zeros(len(index)), rng.normal(0, 0.01, (len(index), FACTORS)))
     edges = np.searchsorted(rows, np.arange(n + 1))
     gb, gw, gv = 1e-6, np.full(len(index), 1e-6), np.full((len(index), FACTORS), 1e-6)
-    for epoch in range(EPOCHS):
+    for _ in range(EPOCHS):
         order = rng.permutation(n)
         for begin in range(0, n, BATCH):
             own = order[begin : begin + BATCH]
             size = edges[own + 1] - edges[own]
             r = np.repeat(np.arange(len(own)), size)
             where = at[np.repeat(edges[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-            if epoch % 2:  # a term must also count where others that come with it are absent
-                stay = rng.random(len(where)) >= DROP
-                r, where = r[stay], where[stay]
             slope = (1 / (1 + np.exp(-np.clip(m.margin(r, where, len(own)), -30, 30))) - y[own]) / len(own) * 32
             g = slope.sum()
             gb += g * g
@@ -126,12 +125,11 @@ def _fit(index: np.ndarray, lists: list[np.ndarray], y: np.ndarray) -> Machine:
             if not len(where):
                 continue
             v = m.v[where]
-            total = np.zeros((len(own), FACTORS))
-            np.add.at(total, r, v)
+            total = np.stack([np.bincount(r, v[:, k], len(own)) for k in range(FACTORS)], 1)
             each = slope[r]
-            dw, dv = np.zeros_like(m.w), np.zeros_like(m.v)
-            np.add.at(dw, where, each)
-            np.add.at(dv, where, each[:, None] * (total[r] - v))
+            change = each[:, None] * (total[r] - v)
+            dw = np.bincount(where, each, len(index))
+            dv = np.stack([np.bincount(where, change[:, k], len(index)) for k in range(FACTORS)], 1)
             on = np.unique(where)
             dw[on] += DECAY * m.w[on]
             dv[on] += DECAY * m.v[on]
@@ -177,8 +175,10 @@ def paired(sample: DataFrame, frequent: np.ndarray, y_rate: float) -> np.ndarray
     spark = sample.sparkSession
     if not len(frequent) or not 0 < y_rate < 1:
         return np.zeros(0, np.int32)
-    got = sorted((r.h, bytes(r["at"]), r.y) for r in sample.mapInArrow(_places(frequent), "h long, at binary, y double").collect())
-    shared = spark.sparkContext.broadcast(([np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for *_, y in got], float)))
+    got = sorted((r.h, tuple(r.least), bytes(r["at"]), r.y) for r in sample.mapInArrow(_places(frequent), _PLACED).collect())
+    for k in (0, 1):
+        got = list({least[k]: (h, least, x, y) for h, least, x, y in reversed(got)}.values())[::-1]
+    shared = spark.sparkContext.broadcast(([np.frombuffer(x, np.int32) for *_, x, _ in got], np.array([y for *_, y in got], float)))
     d = len(frequent)
     blocks = -(-d // PAIR_BLOCK)
     two = [(i, j) for i in range(blocks) for j in range(i, blocks)]
@@ -198,11 +198,14 @@ def _places(index: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             out = [np.searchsorted(index, x[np.isin(x, index)]).astype(np.int32).tobytes() for x in (np.array(t, np.int32) for t in b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pydict({"h": b.column(0), "at": pa.array(out, pa.binary()), "y": b.column(2)})
+            yield pa.RecordBatch.from_pydict({"h": b.column(0), "least": b.column(2), "at": pa.array(out, pa.binary()), "y": b.column(3)})
 
     return run
 
 
+_PLACED = "h long, least array<long>, at binary, y double"
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Machine:
     """labels: (doc_id, y) to learn from where `train` holds."""
     small_batches(docs.sparkSession)
@@ -211,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Machine:
     # The bound is set on ids, before any text is read.
     chosen = known.where("y > 0.5").orderBy(h, "doc_id").limit(TRAIN_ROWS).unionByName(known.where("y <= 0.5").orderBy(h, "doc_id").limit(TRAIN_ROWS))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(h.alias("h"), "text", "y")  # at most 2 * TRAIN_ROWS rows of two numbers
-    sample = materialize(rows.mapInArrow(_terms, "h long, terms array<int>, y double"))
+    sample = materialize(rows.mapInArrow(_terms, "h long, terms array<int>, least array<long>, y double"))
     size = sample.agg(F.count("y").alias("n"), F.sum("y").alias("positive")).first()
     y_rate = (size.positive or 0.0) / max(size.n, 1)
     rate = F.lit(y_rate)
@@ -221,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Machine:
     frequent = [r.t for r in seen.where(F.col("df") >= max(PAIR_ROWS, PAIR_SHARE * size.n)).select("t").collect()]
     index = np.union1d(np.array(strong, np.int32), paired(sample, np.array(sorted(frequent), np.int32), y_rate)).astype(np.int32)
     total = known.agg(F.count_if(F.col("y") > 0.5).alias("toxic"), F.count_if(F.col("y") <= 0.5).alias("other")).first()
-    got = sorted((r.h, bytes(r["at"]), r.y) for r in sample.mapInArrow(_places(index), "h long, at binary, y double").collect())
+    got = sorted((r.h, bytes(r["at"]), r.y) for r in sample.mapInArrow(_places(index), _PLACED).collect())
     discard(sample)
     discard(seen)
     m = _fit(index, [np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for *_, y in got], float))
