@@ -63,6 +63,14 @@ def _unsettled() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
@@ -89,11 +97,8 @@ class Encoder:
     def _words(self, text: str) -> list[str]:
         if text.isascii():
             return SPLIT_ASCII.findall(text.lower())
-        try:
-            text.encode("latin-1")  # composed already, and lowered letter by letter
-            return SPLIT.findall(text.lower())
-        except UnicodeEncodeError:
-            return SPLIT.findall(self.normalizer.normalize_str(text))
+        # Latin-1 is composed already, and lowered letter by letter.
+        return SPLIT.findall(text.lower() if _is_latin(text) else self.normalizer.normalize_str(text))
 
     def _learn(self, words: list[str]) -> None:
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
@@ -108,7 +113,7 @@ class Encoder:
                 self.known[w] = self._ids(w)
 
     def _whole(self, text: str | None) -> bool:
-        return bool(text) and (any(c in text for c in WHOLE) or not text.isascii() and self.unsettled.search(text) is not None)
+        return bool(text) and (any(c in text for c in WHOLE) or not _is_latin(text) and self.unsettled.search(text) is not None)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         whole = [self._whole(t) for t in texts]
