@@ -67,14 +67,111 @@ def line_side(lo: Column, hi: Column, cut: Column) -> Column:
     return F.when(cut < lo, "left").when(cut > hi, "right").when((cut == lo) | (cut == hi), "edge").otherwise("through")
 
 
+def _half(c: Column) -> Column:
+    """Half of an integer, towards zero, in whole numbers: exact beyond 2**53 too."""
+    return F.call_function("div", c, F.lit(2))
+
+
 def box_mid(lo: Column, hi: Column, integral: bool = True) -> Column:
     """The cut halfway through a box; for integers it rounds up, as a box with lo <= hi has it."""
-    return lo + F.floor((hi - lo + 1) / 2).cast("long") if integral else (lo + hi) / 2
+    return lo + _half(hi - lo + 1) if integral else (lo + hi) / 2
+
+
+def box_center(lo: Column, hi: Column, integral: bool = True) -> Column:
+    """Half of lo + hi; of integers towards zero."""
+    return _half(lo + hi) if integral else (lo + hi) / 2
+
+
+def half_up(c: Column, integral: bool = True) -> Column:
+    """(c + 1) / 2 of an integer, towards zero; half of a double, rounded up."""
+    return _half(c + 1) if integral else F.ceil(c / 2)
+
+
+#: The empty box: lo above every coordinate, hi below.
+EMPTY = (2**63 - 1, -(2**63))
+
+
+def box_is_legal(lo: Coords, hi: Coords) -> Column:
+    """Not inverted, or the empty box."""
+    return ~box_is_empty(lo, hi) | reduce(and_, ((a == EMPTY[0]) & (b == EMPTY[1]) for a, b in zip(lo, hi, strict=True)))
+
+
+#: Doubles nearer than this count as equal in the comparisons below.
+EPSILON = 2.0**-52
+
+
+def eps_gt(a: Column, b: Column, eps: float = EPSILON) -> Column:
+    return a - b > eps
+
+
+def eps_lt(a: Column, b: Column, eps: float = EPSILON) -> Column:
+    return a - b < -eps
+
+
+def eps_eq(a: Column, b: Column, eps: float = EPSILON) -> Column:
+    return F.abs(a - b) < eps
+
+
+def eps_geq(a: Column, b: Column, eps: float = EPSILON) -> Column:
+    return ~eps_lt(a, b, eps)
+
+
+def eps_leq(a: Column, b: Column, eps: float = EPSILON) -> Column:
+    return ~eps_gt(a, b, eps)
+
+
+def eps_min(a: Column, b: Column, eps: float = EPSILON) -> Column:
+    return F.when(eps_lt(a, b, eps), a).otherwise(b)
+
+
+def eps_max(a: Column, b: Column, eps: float = EPSILON) -> Column:
+    return F.when(eps_gt(a, b, eps), a).otherwise(b)
+
+
+def eps_abs(a: Column, eps: float = EPSILON) -> Column:
+    return F.when(eps_lt(a, F.lit(0.0), eps), -a).otherwise(a)
+
+
+def eps_is_zero(a: Column, eps: float = EPSILON) -> Column:
+    return eps_eq(a, F.lit(0.0), eps)
+
+
+def eps_in_box(p: Coords, lo: Coords, hi: Coords, eps: float = EPSILON) -> Column:
+    """in_box for doubles that may miss an edge by eps."""
+    return reduce(and_, (eps_geq(c, a, eps) & eps_leq(c, b, eps) for c, a, b in zip(p, lo, hi, strict=True)))
+
+
+def min_coords(p: Coords, q: Coords) -> list[Column]:
+    return [F.least(a, b) for a, b in zip(p, q, strict=True)]
+
+
+def max_coords(p: Coords, q: Coords) -> list[Column]:
+    return [F.greatest(a, b) for a, b in zip(p, q, strict=True)]
+
+
+def box_of_boxes(names: Sequence[str]) -> list[Column]:
+    """Aggregates for the bounding box of boxes in columns lo_c and hi_c."""
+    return [e for c in names for e in (F.min(f"lo_{c}").alias(f"lo_{c}"), F.max(f"hi_{c}").alias(f"hi_{c}"))]
+
+
+def child_boxes(lo: Coords, hi: Coords, cuts: Coords) -> list[tuple[list[Column], list[Column]]]:
+    """The 2**d parts of a box by one cut a dimension, as orth_cell numbers them; both sides keep the cut."""
+    out = [(list(lo), list(hi))]
+    for i, cut in enumerate(cuts):
+        out = [half for a, b in out for half in box_cut(a, b, i, cut)]
+    return out
+
+
+def find_bucket(p: Coords, pivots: Sequence[tuple[int, int | float]]) -> Column:
+    """The leaf, from 0, to which a complete binary tree of (dimension, cut) pivots leads a point, given level by level; below a cut is left."""
 
+    def walk(k: int) -> Column:
+        if k > len(pivots):
+            return F.lit(k - len(pivots) - 1)
+        dim, cut = pivots[k - 1]
+        return F.when(p[dim] < F.lit(cut), walk(2 * k)).otherwise(walk(2 * k + 1))
 
-def box_center(lo: Column, hi: Column) -> Column:
-    """Half of lo + hi, towards zero."""
-    return ((lo + hi) / 2).cast("long")
+    return walk(1)
 
 
 def box_cut(lo: Coords, hi: Coords, dim: int, cut: Column) -> tuple[tuple[list, list], tuple[list, list]]:
@@ -85,7 +182,7 @@ def box_cut(lo: Coords, hi: Coords, dim: int, cut: Column) -> tuple[tuple[list,
 
 
 def box_union(lo: Coords, hi: Coords, lo2: Coords, hi2: Coords) -> tuple[list[Column], list[Column]]:
-    return [F.least(a, b) for a, b in zip(lo, lo2, strict=True)], [F.greatest(a, b) for a, b in zip(hi, hi2, strict=True)]
+    return min_coords(lo, lo2), max_coords(hi, hi2)
 
 
 def d2(p: Coords, q: Coords) -> Column:
@@ -115,4 +212,7 @@ def vector_d2(a: Column, b: Column) -> Column:
 
 def precedes(p: Coords, q: Coords) -> Column:
     """Lexicographic order of points."""
-    return F.struct(*p) < F.struct(*q)
+    out, same = F.lit(False), F.lit(True)
+    for a, b in zip(p, q, strict=True):
+        out, same = out | (same & (a < b)), same & (a == b)
+    return out

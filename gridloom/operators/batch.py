@@ -7,9 +7,13 @@ lie in; the join is then by cell, hashed, and splittable where a cell is hot.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,40 +23,86 @@ from gridloom.operators.pointset import PointSet
 
 #: Cells of one level that a box touches along an axis, at most.
 SPAN = 4
+#: Levels are multiples of this, so that points are repeated for few of them.
+STEP = 2
+#: Queries in a block, and points in one, of the plain searches.
+QUERY_BLOCK = 256
+POINT_BLOCK = 8192
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint where the session has a folder for it."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
 def _cell(c: Column, width: Column) -> Column:
     return F.floor(c / width)
 
 
+def _width(c: str) -> Column:
+    return F.pow(F.lit(2.0), F.col(f"_level_{c}"))
+
+
 def _leveled(boxes: DataFrame, coords: Sequence[str]) -> DataFrame:
-    """Non-empty boxes with the `level` at which they touch at most SPAN cells an axis; cells of a level are 2**level wide."""
-    extent = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in coords], F.lit(1)) if len(coords) > 1 else F.greatest(F.col(f"hi_{coords[0]}") - F.col(f"lo_{coords[0]}"), F.lit(1))
-    level = F.greatest(F.ceil(F.log2(extent / F.lit(SPAN - 1))), F.lit(0))
+    """Non-empty boxes with, for each axis, the level at which they touch at most SPAN cells; cells of a level are 2**level wide.
+
+    Levels follow the box, axis by axis, and may be negative; sides without extent take the least level of the others, or
+    one by which all boxes' places fall in about a thousand cells."""
     lo, hi = [F.col(f"lo_{c}") for c in coords], [F.col(f"hi_{c}") for c in coords]
-    return boxes.where(~G.box_is_empty(lo, hi)).withColumn("level", level.cast("int"))
+    some = boxes.where(~G.box_is_empty(lo, hi))
+    level = {c: F.ceil(F.log2(F.when(h > a, (h - a).cast("double")) / F.lit(SPAN - 1.0)) / STEP) * STEP for c, a, h in zip(coords, lo, hi, strict=True)}
+    stats = some.agg(*[e for c, a, h in zip(coords, lo, hi, strict=True) for e in (F.min(level[c]).alias(f"least_{c}"), F.max(F.greatest(F.abs(a), F.abs(h))).alias(f"far_{c}"), (F.max(h) - F.min(a)).alias(f"all_{c}"))]).first()
+    for c in coords:
+        far, whole = float(stats[f"far_{c}"] or 1), float(stats[f"all_{c}"] or 0)
+        # A cell's number must stay exact in a double.
+        floor = math.ceil((math.log2(far) if far > 0 else 0) - 50)
+        flat = stats[f"least_{c}"] if stats[f"least_{c}"] is not None else STEP * math.ceil(math.log2(whole / 1024) / STEP) if whole > 0 else 0
+        some = some.withColumn(f"_level_{c}", F.greatest(F.coalesce(level[c], F.lit(flat)), F.lit(floor)).cast("int"))
+    return some
+
+
+def _cells_of_boxes(df: DataFrame, coords: Sequence[str], lo: str = "lo_", hi: str = "hi_") -> DataFrame:
+    for c in coords:
+        df = df.withColumn(f"_cell_{c}", F.explode(F.sequence(_cell(F.col(f"{lo}{c}"), _width(c)), _cell(F.col(f"{hi}{c}"), _width(c)))))
+    return df
+
+
+def _at_levels(df: DataFrame, leveled: DataFrame, coords: Sequence[str]) -> DataFrame:
+    """df once for each combination of levels that some box uses: at most a few dozen an axis, whatever the number of boxes."""
+    names = [f"_level_{c}" for c in coords]
+    used = sorted(tuple(r) for r in leveled.select(*names).distinct().collect())
+    levels = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in used]) if used else F.array().cast("array<struct<" + ",".join(f"{n}:int" for n in names) + ">>")
+    return df.withColumn("_l", F.explode(levels)).select(*df.columns, "_l.*")
+
+
+def _keys(coords: Sequence[str]) -> list[str]:
+    return [f"{k}_{c}" for c in coords for k in ("_level", "_cell")]
 
 
 def range_join(points: PointSet, boxes: DataFrame) -> DataFrame:
     """Rows of boxes (lo_c and hi_c for each coordinate c, and any others) with each point inside.
 
-    A point lies in one cell of a level, so no pair comes twice. Points are repeated once for
-    each level that some box uses - powers of two, so a few dozen at most."""
+    A point lies in one cell of a combination of levels, so no pair comes twice."""
     coords = points.coords
     leveled = _leveled(boxes, coords)
-    levels = sorted(r.level for r in leveled.select("level").distinct().collect())  # at most 64
-    if not levels:
-        return points.df.join(boxes, F.lit(False))
-    width = lambda: F.pow(F.lit(2.0), F.col("level"))
-    cells = leveled
+    at = _at_levels(points.df, leveled, coords)
     for c in coords:
-        cells = cells.withColumn(f"_{c}", F.explode(F.sequence(_cell(F.col(f"lo_{c}"), width()), _cell(F.col(f"hi_{c}"), width()))))
-    at = points.df.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
-    for c in coords:
-        at = at.withColumn(f"_{c}", _cell(F.col(c), width()))
-    keys = ["level", *(f"_{c}" for c in coords)]
+        at = at.withColumn(f"_cell_{c}", _cell(F.col(c), _width(c)))
     inside = G.in_box(G.cols(coords), [F.col(f"lo_{c}") for c in coords], [F.col(f"hi_{c}") for c in coords])
-    return at.join(cells, keys).where(inside).drop(*keys)
+    return at.join(_cells_of_boxes(leveled, coords), _keys(coords)).where(inside).drop(*_keys(coords))
+
+
+def box_join(cells: DataFrame, boxes: DataFrame, coords: Sequence[str], lo: str, hi: str) -> DataFrame:
+    """Rows of boxes with each row of cells (corners in columns lo + c and hi + c) that they meet.
+
+    Both go to the cells of the boxes' levels that they touch; of the places where a pair meets, the one at the
+    greater of the two lower corners counts. Meant for cells no larger than most boxes."""
+    leveled = _leveled(boxes, coords)
+    left = _cells_of_boxes(_at_levels(cells, leveled, coords), coords, lo, hi)
+    pairs = left.join(_cells_of_boxes(leveled, coords), _keys(coords))
+    meets = G.boxes_intersect([F.col(f"{lo}{c}") for c in coords], [F.col(f"{hi}{c}") for c in coords], [F.col(f"lo_{c}") for c in coords], [F.col(f"hi_{c}") for c in coords])
+    once = reduce(lambda a, b: a & b, (F.col(f"_cell_{c}") == _cell(F.greatest(f"{lo}{c}", f"lo_{c}"), _width(c)) for c in coords))
+    return pairs.where(meets & once).drop(*_keys(coords))
 
 
 def range_query(points: PointSet, boxes: DataFrame, qid: str = "qid") -> DataFrame:
@@ -66,11 +116,75 @@ def range_count(points: PointSet, boxes: DataFrame, qid: str = "qid") -> DataFra
     return boxes.select(qid).join(found, qid, "left").select(qid, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def distance_join(points: PointSet, centers: DataFrame, radius: str = "r", qid: str = "qid") -> DataFrame:
+    """(qid, key columns, d2) of every point within its radius of every center (coordinates, and the radius, as columns)."""
+    coords = points.coords
+    boxes = centers.where(F.col(radius) >= 0).select(qid, F.col(radius).alias("_r"), *[e for c in coords for e in (F.col(c).alias(f"_q{c}"), (F.col(c) - F.col(radius)).alias(f"lo_{c}"), (F.col(c) + F.col(radius)).alias(f"hi_{c}"))])
+    d2 = G.d2(G.cols(coords), [F.col(f"_q{c}") for c in coords])
+    return range_join(points, boxes).withColumn("d2", d2).where(F.col("d2") <= F.col("_r") * F.col("_r")).select(qid, *points._key, "d2")
+
+
+def radius_counts(points: PointSet, centers: DataFrame, radius: str = "r", qid: str = "qid") -> DataFrame:
+    """(qid, n): PointSet.radius_count for every center."""
+    found = distance_join(points, centers, radius, qid).groupBy(qid).agg(F.count(F.lit(1)).alias("n"))
+    return centers.select(qid).join(found, qid, "left").select(qid, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _packed(df: DataFrame, block: int, columns: Sequence[str], prefix: str) -> DataFrame:
+    """Rows packed by blocks into one row of arrays each. Blocks are those of the task that reads them: nothing is shuffled."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for k in range(0, b.num_rows, block):
+                part = b.slice(k, block)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c) for c in part.columns], part.schema.names)
+
+    renamed = df.select(*[F.col(c).alias(f"{prefix}{c}") for c in columns])
+    return renamed.mapInArrow(run, ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in renamed.schema.fields))
+
+
+def _blockwise(points: DataFrame, queries: DataFrame, keys: Sequence[str], qid: str, k: int, distances: Callable, point_columns: Sequence[str], query_columns: Sequence[str]) -> DataFrame:
+    """(qid, keys, d2, rank): every query against every point, block by block, of which each block of points hands on k a query.
+
+    distances: of a block of queries' and a block of points' columns, as (queries, points)."""
+    blocks = _packed(points, POINT_BLOCK, point_columns, "p_").join(_packed(queries, QUERY_BLOCK, query_columns, "q_"))
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    ids = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for row in range(b.num_rows):
+                one = {n: b.column(n)[row].values for n in b.schema.names}
+                d2 = distances({c: one[f"q_{c}"] for c in query_columns}, {c: one[f"p_{c}"] for c in point_columns})
+                order = [one[f"p_{c}"].to_numpy(zero_copy_only=False) for c in keys][::-1]
+                queried, at = [], []
+                for i in range(d2.shape[0]):
+                    near = np.arange(d2.shape[1]) if d2.shape[1] <= k else np.flatnonzero(d2[i] <= np.partition(d2[i], k - 1)[k - 1])
+                    first = near[np.lexsort([*(o[near] for o in order), d2[i][near]])][:k]
+                    queried.append(np.full(len(first), i))
+                    at.append(first)
+                q, p = np.concatenate(queried), np.concatenate(at)
+                yield pa.RecordBatch.from_arrays([one[f"q_{qid}"].take(pa.array(q)), *[one[f"p_{c}"].take(pa.array(p)) for c in keys], pa.array(d2[q, p])], [qid, *keys, "d2"])
+
+    distance = "double" if any(kinds[c] not in ("bigint", "int", "smallint", "tinyint") for c in point_columns if c not in keys or c in query_columns) else "bigint"
+    found = blocks.mapInArrow(run, f"`{qid}` {ids[qid]}, " + ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", d2 {distance}")
+    by = W.partitionBy(qid).orderBy("d2", *keys)
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def knn_naive(points: PointSet, queries: DataFrame, k: int, qid: str = "qid") -> DataFrame:
-    """The plain form: every query against every point."""
-    q = queries.select(qid, *[F.col(c).alias(f"_q{c}") for c in points.coords])
-    pairs = points.df.select(*points._key).crossJoin(q).withColumn("d2", G.d2(G.cols(points.coords), [F.col(f"_q{c}") for c in points.coords]))
-    return _nearest(pairs, points, k, qid)
+    """The plain form: every query against every point, in blocks."""
+    coords = list(points.coords)
+
+    def distances(q: dict, p: dict) -> np.ndarray:
+        return reduce(add, ((p[c].to_numpy(zero_copy_only=False)[None, :] - q[c].to_numpy(zero_copy_only=False)[:, None]) ** 2 for c in coords))
+
+    if k <= 0:
+        d2 = G.d2(G.cols(coords), G.cols(coords))
+        return points.df.limit(0).join(queries.select(qid)).select(qid, *points._key, d2.alias("d2"), F.lit(1).alias("rank"))
+    kinds = {c: points.df.schema[c].dataType for c in coords}
+    queries = queries.select(qid, *[F.col(c).cast(kinds[c]).alias(c) for c in coords])
+    return _blockwise(points.df, queries, points._key, qid, k, distances, points._key, [qid, *coords])
 
 
 def _nearest(pairs: DataFrame, points: PointSet, k: int, qid: str) -> DataFrame:
@@ -78,47 +192,72 @@ def _nearest(pairs: DataFrame, points: PointSet, k: int, qid: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select(qid, *points._key, "d2", "rank")
 
 
+def _around(todo: DataFrame, coords: Sequence[str], width: Column) -> DataFrame:
+    for c in coords:
+        todo = todo.withColumn(f"_{c}", F.explode(F.sequence(_cell(F.col(f"_q{c}"), width) - 1, _cell(F.col(f"_q{c}"), width) + 1)))
+    return todo
+
+
 def knn(points: PointSet, queries: DataFrame, k: int, qid: str = "qid") -> DataFrame:
     """Exact k nearest points of every query: (qid, key columns, d2, rank), ties by id or coordinates.
 
-    Rounds of growing cells: a query meets the points of its cell and the cells around it. All
-    points within one cell width of it are among those, so it is done once its k-th distance is
-    no larger; the others go on with cells four times as wide, until those span everything.
-    Of points in one place only the k first take part. queries: qid and the coordinate columns."""
+    Counts of cells of doubling width, each level added up from the one below, tell for each query the least width at which
+    its cell and the cells around it hold k points, so that dense and thin places get cells of their own size. A query meets the
+    points of those cells. All points within one cell width of it are among them, so it is done once its k-th distance is no
+    larger; the others go on at the width of that distance. Of points in one place only the k first take part.
+    queries: qid and the coordinate columns."""
     coords = points.coords
     if k <= 0:
-        return knn_naive(points._with(points.df.limit(0)), queries, 0, qid)
-    place = W.partitionBy(*coords).orderBy(*points._key)
-    few = points.df.select(*points._key).withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n")
-    both = few.select(*coords).unionByName(queries.select(*coords))
-    box = both.agg(*[F.min(c).alias(f"lo_{c}") for c in coords], *[F.max(c).alias(f"hi_{c}") for c in coords], F.count(F.lit(1)).alias("n")).first()
-    if not box.n:
+        return knn_naive(points, queries, 0, qid)
+    key = points.df.select(*points._key)
+    places = key.groupBy(*coords).agg(F.count(F.lit(1)).alias("_n"))
+    both = places.agg(F.max("_n").alias("most"), F.sum("_n").alias("n"), *[e for c in coords for e in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
+    if not both.n:
         return knn_naive(points, queries, k, qid)
-    extent = max(float(box[f"hi_{c}"] - box[f"lo_{c}"]) for c in coords) or 1.0
-    width = max(extent * (k / box.n) ** (1 / len(coords)), extent / 2**20)
+    few = key
+    if both.most > k:
+        place = W.partitionBy(*coords).orderBy(*points._key)
+        few = key.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n")
+    extent = max(float(both[f"hi_{c}"] - both[f"lo_{c}"]) for c in coords) or 1.0
+    far = max(abs(float(both[f"{s}_{c}"])) for c in coords for s in ("lo", "hi")) or 1.0
+    # The finest width: of a level at which even crowded places hold few points a cell, as far as doubles tell cells apart.
+    top = math.ceil(math.log2(extent)) + 1
+    bottom = max(top - max(4, 2 * math.ceil(math.log2(both.n / k + 1) / len(coords))), math.ceil(math.log2(far)) - 50)
+    bottom = top - (top - bottom) // STEP * STEP
+    finest = F.lit(2.0**bottom)
+    names = [f"_{c}" for c in coords]
+    counts = _cut(few.groupBy(*[_cell(F.col(c), finest).alias(f"_{c}") for c in coords]).agg(F.count(F.lit(1)).alias("_n")))
+    # One row for each level; each counted from the finest cells, which are many fewer than points where points are dense.
+    levels = F.explode(F.sequence(F.lit(bottom), F.lit(top), F.lit(STEP))).alias("_level")
+    at_level = counts.select(levels, *[F.col(f"_{c}") for c in coords], "_n").select("_level", *[F.floor(F.col(f"_{c}") / F.pow(F.lit(2.0), F.col("_level") - bottom)).alias(f"_{c}") for c in coords], "_n")
+    at_level = at_level.groupBy("_level", *names).agg(F.sum("_n").alias("_n"))
     todo = queries.select(qid, *[F.col(c).alias(f"_q{c}") for c in coords])
+    asked = _around(todo.select("*", levels), coords, F.pow(F.lit(2.0), F.col("_level")))
+    enough = asked.join(at_level, ["_level", *names]).groupBy(qid, "_level").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k).groupBy(qid).agg(F.min("_level").alias("_level"))
+    todo = _cut(todo.join(enough, qid, "left").withColumn("_level", F.coalesce("_level", F.lit(top + 1))))
     done: list[DataFrame] = []
     while True:
-        last = width >= extent
-        w = F.lit(width)
-        cells = todo
+        used = sorted(r[0] for r in todo.select("_level").distinct().collect())  # as many as there are levels, at most
+        if not used:
+            return reduce(DataFrame.unionByName, done) if done else knn_naive(points, queries, k, qid)
+        near, whole = todo.where(F.col("_level") <= top), todo.where(F.col("_level") > top)
+        width = F.pow(F.lit(2.0), F.col("_level"))
+        at = few.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in used if v <= top]).cast("array<int>")))
         for c in coords:
-            cells = cells.withColumn(f"_{c}", F.explode(F.sequence(_cell(F.col(f"_q{c}"), w) - 1, _cell(F.col(f"_q{c}"), w) + 1)))
-        at = few
-        for c in coords:
-            at = at.withColumn(f"_{c}", _cell(F.col(c), w))
-        pairs = at.join(cells, [f"_{c}" for c in coords]).withColumn("d2", G.d2(G.cols(coords), [F.col(f"_q{c}") for c in coords]))
-        found = _nearest(pairs, points, k, qid)
-        if last:
-            return reduce(DataFrame.unionByName, [*done, found])
-        found = found.checkpoint() if points.df.sparkSession.sparkContext.getCheckpointDir() else found.persist()
-        final = found.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), F.max("d2").alias("_far")).where((F.col("_n") >= k) & (F.col("_far") <= F.lit(width * width))).select(qid)
-        done.append(found.join(final, qid, "left_semi"))
-        todo = todo.join(final, qid, "left_anti")
-        todo = todo.checkpoint() if points.df.sparkSession.sparkContext.getCheckpointDir() else todo.persist()
-        if todo.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        width *= 4
+            at = at.withColumn(f"_{c}", _cell(F.col(c), width))
+        d2 = G.d2(G.cols(coords), [F.col(f"_q{c}") for c in coords])
+        pairs = at.join(_around(near, coords, width), ["_level", *names]).withColumn("d2", d2)
+        found = _cut(_nearest(pairs, points, k, qid))
+        if used[-1] > top:  # places so far from all points, or k so large, that no cell is enough
+            done.append(knn_naive(points._with(few), whole.select(qid, *[F.col(f"_q{c}").alias(c) for c in coords]), k, qid).select(*found.columns))
+        reach = found.groupBy(qid).agg(F.count(F.lit(1)).alias("_found"), F.max("d2").alias("_far"))
+        state = near.join(reach, qid, "left")
+        enough = (F.col("_found") >= k) & (F.col("_far") <= width * width)
+        done.append(found.join(state.where(enough).select(qid), qid, "left_semi"))
+        # At a width of the k-th distance found so far, all nearer points are in reach.
+        wider = F.when(F.col("_found") >= k, F.ceil(F.log2(F.sqrt(F.col("_far").cast("double"))) + 1e-9)).otherwise(F.col("_level") + 2)
+        rest = state.where(~F.coalesce(enough, F.lit(False))).withColumn("_level", F.least(F.greatest(wider, F.col("_level") + 1), F.lit(top + 1)).cast("int"))
+        todo = _cut(rest.select(*todo.columns))
 
 
 def knn_distances(points: PointSet, queries: DataFrame, k: int, qid: str = "qid") -> DataFrame:
@@ -127,9 +266,13 @@ def knn_distances(points: PointSet, queries: DataFrame, k: int, qid: str = "qid"
 
 
 def vector_knn(vectors: DataFrame, queries: DataFrame, k: int, qid: str = "qid") -> DataFrame:
-    """(qid, id, d2, rank) by whole arrays: vectors (id, v), queries (qid, v). A stated query set against all vectors: grids prune nothing in so many dimensions."""
-    q = queries.select(qid, F.col("v").alias("_v"))
-    pairs = vectors.select("id", "v").crossJoin(q).select(qid, "id", G.vector_d2(F.col("v"), F.col("_v")).alias("d2"))
-    by = W.partitionBy(qid).orderBy("d2", "id")
-    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    """(qid, id, d2, rank) by whole arrays: vectors (id, v), queries (qid, v), all of one length. A stated query set against all vectors, in blocks: grids prune nothing in so many dimensions."""
+
+    def distances(q: dict, p: dict) -> np.ndarray:
+        a, b = (x["v"].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x["v"]), -1) for x in (q, p))
+        out = np.zeros((len(a), len(b)))
+        for j in range(a.shape[1]):  # one dimension after another, as a running sum has it
+            out += (b[None, :, j] - a[:, j, None]) ** 2
+        return out
 
+    return _blockwise(vectors, queries, ["id"], qid, k, distances, ["id", "v"], [qid, "v"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -67,6 +69,27 @@ def boxes(points: DataFrame, coords: Sequence[str], n: int, extent: float, seed:
     return sides.select("qid", *[e for c in coords for e in ((F.col(c) - F.col(f"_h_{c}")).alias(f"lo_{c}"), (F.col(c) + F.col(f"_h_{c}")).alias(f"hi_{c}"))])
 
 
+def subset_boxes(points: DataFrame, coords: Sequence[str], least: int, most: int, seed: int | None = None) -> DataFrame:
+    """(qid, lo_c, hi_c, n): tight boxes of subsets of least to most points (a bracket), found by random cuts.
+
+    Every subset that is too large is cut, in turn across each dimension, at the coordinate of a member picked by hash; those
+    within the bracket are kept, smaller ones given up. All subsets are cut at once, so the rounds are as many as the deepest needs."""
+    seeds = Seeds(seed)
+    out, found, level = points.select(*coords, F.lit(1).cast("long").alias("qid")), None, 0
+    while True:
+        made = [e for c in coords for e in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
+        c = coords[level % len(coords)]
+        cells = out.groupBy("qid").agg(*made, F.count(F.lit(1)).alias("n"), F.max_by(c, F.xxhash64(*coords, F.lit(seeds()))).alias("_cut"))
+        kept = cells.where(F.col("n").between(least, most)).drop("_cut")
+        found = kept if found is None else found.unionByName(kept)
+        alike = reduce(and_, (F.col(f"lo_{x}") == F.col(f"hi_{x}") for x in coords))
+        large = cells.where((F.col("n") > most) & ~alike).select("qid", "_cut")
+        if level >= 62 or large.isEmpty():
+            return found
+        out = out.join(large, "qid").select(*coords, (F.col("qid") * 2 + (F.col(c) >= F.col("_cut")).cast("long")).alias("qid"))
+        level += 1
+
+
 def box_of_two(a: Sequence[str], b: Sequence[str], coords: Sequence[str]) -> list:
     """Corners of the box of two points given as columns."""
     return [e for p, q, c in zip(a, b, coords, strict=True) for e in (F.least(p, q).alias(f"lo_{c}"), F.greatest(p, q).alias(f"hi_{c}"))]

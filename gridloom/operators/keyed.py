@@ -163,3 +163,31 @@ def aggregate_select(a: DataFrame, key: Sequence[str], value: str, limit) -> Dat
 
 def append(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
+
+
+def aggregate_filter(a: DataFrame, keep: Column) -> DataFrame:
+    """Entries whose own aggregate satisfies a condition."""
+    return a.where(keep)
+
+
+def take_while(a: DataFrame, key: Sequence[str], go_on: Column) -> DataFrame:
+    """Entries in the order of the key that come before the first one for which go_on does not hold."""
+    stop = a.where(~F.coalesce(go_on, F.lit(False))).agg(F.min(F.struct(*key)).alias("_stop"))
+    return a.join(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.struct(*key) < F.col("_stop"))).drop("_stop")  # one row
+
+
+def from_sorted(a: DataFrame, key: Sequence[str]) -> DataFrame:
+    """A set from rows in order, of which the last of each key counts. Rows are dealt by key, so their order needs no sort."""
+    rest = [c for c in a.columns if c not in key]
+    last = a.withColumn("_at", F.monotonically_increasing_id()).groupBy(*key).agg(F.max_by(F.struct(*rest), "_at").alias("_r"))
+    return last.select(*key, "_r.*")
+
+
+def insert_one(a: DataFrame, **row) -> DataFrame:
+    """The set with one row put in, or in place of that of its key (the first column)."""
+    one = a.sparkSession.createDataFrame([tuple(row[c] for c in a.columns)], a.schema)
+    return upsert(a, one, [a.columns[0]])
+
+
+def remove_one(a: DataFrame, key: Sequence[str], values: Sequence) -> DataFrame:
+    return a.where(~at(key, values))

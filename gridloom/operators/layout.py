@@ -86,6 +86,15 @@ def cut_dim(lo: Sequence[Column], hi: Sequence[Column], depth: int | Column, rul
     return out
 
 
+def divided_dim(lo: Sequence[Column], hi: Sequence[Column], dim: Column) -> Column:
+    """The first dimension from dim on, around the end, in which points differ: a cut across another one would divide nothing."""
+    d, out = len(lo), dim
+    for step in range(d - 1, -1, -1):
+        at = (dim + step) % d
+        out = F.when(F.element_at(F.array(*hi), at + 1) > F.element_at(F.array(*lo), at + 1), at).otherwise(out)
+    return out
+
+
 def _boxes(df: DataFrame, coords: Sequence[str]) -> DataFrame:
     return df.groupBy("cell").agg(*[e for c in coords for e in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))], F.count(F.lit(1)).alias("n"))
 
@@ -121,18 +130,19 @@ def kd_cells(points: PointSet, depth: int, dim: str = "rotate", rule: str = "obj
     for level in range(depth):
         box = _boxes(out, coords)
         lo, hi = [F.col(f"lo_{c}") for c in coords], [F.col(f"hi_{c}") for c in coords]
-        box = box.withColumn("dim", cut_dim(lo, hi, level, dim)).where((F.col("n") > leaf) & ~G.same_point(lo, hi))
+        box = box.withColumn("dim", divided_dim(lo, hi, cut_dim(lo, hi, level, dim))).where((F.col("n") > leaf) & ~G.same_point(lo, hi))
         value = F.element_at(F.array(*coords), F.col("dim") + 1)
         if rule == "spatial":
             integral = points.df.schema[coords[0]].dataType.simpleString() == "bigint"
-            box = box.withColumn("cut", F.element_at(F.array(*[G.box_mid(a, b, integral) for a, b in zip(lo, hi, strict=True)]), F.col("dim") + 1)).select("cell", "dim", "cut")
+            box = box.withColumn("cut", F.element_at(F.array(*[G.box_mid(a, b, integral) for a, b in zip(lo, hi, strict=True)]), F.col("dim") + 1)).select("cell", "dim", "cut", F.lit(False).alias("least"))
         else:
             cuts = out.join(box.select("cell", "dim"), "cell").groupBy("cell", "dim").agg(F.percentile_approx(value, 0.5).alias("cut"), F.min(value).alias("low"))
             # The median itself goes right; where it is the minimum, what exceeds it does.
-            box = cuts.select("cell", "dim", F.when(F.col("cut") > F.col("low"), F.col("cut")).otherwise(F.col("cut") + 1).alias("cut"))
-        right = F.coalesce(F.element_at(F.array(*coords), F.col("dim") + 1) >= F.col("cut"), F.lit(False))
+            box = cuts.select("cell", "dim", "cut", (F.col("cut") == F.col("low")).alias("least"))
+        value = F.element_at(F.array(*coords), F.col("dim") + 1)
+        right = F.coalesce((value > F.col("cut")) | (value == F.col("cut")) & ~F.col("least"), F.lit(False))
         split = F.when(F.col("cut").isNull(), F.col("cell")).otherwise(F.col("cell") * 2 + right.cast("long"))
-        out = out.join(box, "cell", "left").withColumn("cell", split).drop("dim", "cut")
+        out = out.join(box, "cell", "left").withColumn("cell", split).drop("dim", "cut", "least")
     return out
 
 
@@ -144,7 +154,36 @@ def cell_statistics(cells: DataFrame) -> DataFrame:
 
 def imbalanced(left: Column, n: Column, ratio: int = 30) -> Column:
     """Whether the left of n points is further than ratio percent from half."""
-    return (n == 0) | (F.abs(F.floor(100 * left / n) - 50) > ratio)
+    return (n == 0) | (F.abs(F.lit(100.0) * left / n - 50) > ratio)
+
+
+def sparse(n: Column, removed: Column, least: int = 24) -> Column:
+    """Whether so few of n points are left that their cell should be merged."""
+    return n - removed < least
+
+
+def touched_each(summary: DataFrame, boxes: DataFrame, coords: Sequence[str], qid: str = "qid") -> DataFrame:
+    """touched() for every row of boxes (lo_c, hi_c): cells meet boxes by the coarse grid of batch.range_join, as boxes with boxes."""
+    from gridloom.operators.batch import box_join
+
+    cells = summary.select(*[F.col(f"lo_{c}").alias(f"cell_lo_{c}") for c in coords], *[F.col(f"hi_{c}").alias(f"cell_hi_{c}") for c in coords])
+    met = box_join(cells, boxes, coords, "cell_lo_", "cell_hi_")
+    inside = G.box_in_box([F.col(f"cell_lo_{c}") for c in coords], [F.col(f"cell_hi_{c}") for c in coords], [F.col(f"lo_{c}") for c in coords], [F.col(f"hi_{c}") for c in coords])
+    found = met.groupBy(qid).agg(F.count_if(inside).alias("cells_full"), F.count_if(~inside).alias("cells_edge"))
+    total = summary.agg(F.count(F.lit(1)).alias("_all"))
+    out = boxes.select(qid).join(found, qid, "left").fillna(0, ["cells_full", "cells_edge"]).join(F.broadcast(total))  # one row
+    return out.select(qid, "cells_full", "cells_edge", (F.col("_all") - F.col("cells_full") - F.col("cells_edge")).alias("cells_skipped"))
+
+
+def mean_touched(touched: DataFrame) -> DataFrame:
+    """The mean of each counter over all queries."""
+    return touched.agg(*[F.avg(c).alias(c) for c in touched.columns if c.startswith("cells_")])
+
+
+def knn_touched(summary: DataFrame, coords: Sequence[str], q: Sequence[int | float], far: int | float) -> DataFrame:
+    """How many cells a nearest-neighbour search whose k-th squared distance is far must check, and skips."""
+    near = G.box_min_d2(G.lits(q), [F.col(f"lo_{c}") for c in coords], [F.col(f"hi_{c}") for c in coords])
+    return summary.agg(F.count_if(near <= far).alias("cells_checked"), F.count_if(near > far).alias("cells_skipped"))
 
 
 def validate(points: PointSet, summary: DataFrame, width: float) -> list[str]:

@@ -9,10 +9,10 @@ VIEWS = {
     "p3": "SELECT event_id AS id, user_id AS x, CAST(round(value * 100) AS BIGINT) AS y, event_id % 997 AS z FROM {events}",
     "b2": "SELECT l_partkey AS x, l_suppkey AS y FROM {lineitem}",
     "c2": "SELECT c_custkey AS id, c_custkey AS x, CAST(round(c_acctbal) AS BIGINT) AS y FROM {customer}",
-    "q2": "SELECT c_custkey AS qid, c_custkey AS x, CAST(round(c_acctbal * 40) AS BIGINT) AS y FROM {customer} WHERE c_custkey < 50",
+    "q2": "SELECT c_custkey AS qid, c_custkey AS x, CAST(round(c_acctbal * 40) AS BIGINT) AS y FROM {customer} WHERE c_custkey % 100 = 0",
     "box2": (
-        "SELECT qid, CASE WHEN qid = 49 THEN x + 20 ELSE x - 20 END AS lo_x, CASE WHEN qid = 49 THEN x - 20 ELSE x + 20 END AS hi_x, y - 20000 AS lo_y, y + 20000 AS hi_y "
-        "FROM (SELECT c_custkey AS qid, c_custkey AS x, CAST(round(c_acctbal * 40) AS BIGINT) AS y FROM {customer} WHERE c_custkey < 50) q"
+        "SELECT qid, CASE WHEN qid % 1000 = 0 THEN x + 20 ELSE x - 20 END AS lo_x, CASE WHEN qid % 1000 = 0 THEN x - 20 ELSE x + 20 END AS hi_x, y - 20000 AS lo_y, y + 20000 AS hi_y "
+        "FROM (SELECT c_custkey AS qid, c_custkey AS x, CAST(round(c_acctbal * 40) AS BIGINT) AS y FROM {customer} WHERE c_custkey % 100 = 0) q"
     ),
     "del2": "SELECT l_partkey AS x, l_suppkey AS y FROM {lineitem} WHERE l_quantity < 10",
     "snap_a": "SELECT o_orderkey AS id, o_custkey AS x, CAST(round(o_totalprice) AS BIGINT) AS y FROM {orders} WHERE o_orderkey % 10 <> 0",
@@ -30,3 +30,7 @@ def with_views(sql: str, *names: str) -> str:
     """A DuckDB query that may use the views."""
     made = ", ".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in names)
     return f"WITH {made} {sql}"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
