@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch: at some 100 KB for the longest texts, a batch stays near 50 MB.
+#: Rows per Arrow batch; Spark's own limit of bytes for a batch holds beside it.
 BATCH_ROWS = 512
 
 
@@ -24,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     at = spark.sparkContext.getCheckpointDir()
     if at is None:
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-")
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = at or tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")

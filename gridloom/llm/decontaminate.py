@@ -18,12 +18,14 @@
 
 Defined results: null and empty texts have no passages and never leak; items without words
 are never found; repeated rows of either table give their pairs once; rows with null ids are
-ignored; empty tables give no pairs; other columns are ignored.
+ignored; very long texts are passages like any others, a few thousand at a time; empty tables give
+no pairs; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -54,6 +56,8 @@ PARAPHRASE = 0.5
 ANSWER = 0.6
 #: Partial sums added at each level of the tree.
 FAN = 16
+#: Bytes of items that are fitted, sent to the tasks and searched together; a larger benchmark goes in several such blocks.
+ITEM_BYTES = 16 << 20
 #: Tokens projected at once.
 TOKENS = 1 << 15
 
@@ -318,7 +322,7 @@ class Retrieval:
 
 
 def retrieval(docs: DataFrame, benchmark: DataFrame) -> Retrieval | None:
-    """Fit weights and basis over all documents. benchmark: (item_id, text); its size is the benchmark's, not the corpus'."""
+    """Fit weights and basis over all documents. benchmark: (item_id, text), of some ITEM_BYTES at most."""
     small_batches(docs.sparkSession)
     items = sorted({(r.item_id, (r.text or "").encode()) for r in benchmark.select("item_id", "text").where("item_id is not null").collect()})
     texts = docs.select("text").where("text is not null")
@@ -358,8 +362,19 @@ def retrieval(docs: DataFrame, benchmark: DataFrame) -> Retrieval | None:
     return r
 
 
+def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark in blocks of items that fit a task; as a rule one."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // ITEM_BYTES)
+    return [benchmark] if n <= 1 else [benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common and answer of every leak."""
+    return reduce(DataFrame.unionByName, [_leaks(docs, items) for items in item_blocks(benchmark)])
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, cosine double, common double, answer double"
     spark = docs.sparkSession
     r = retrieval(docs, benchmark)
@@ -381,6 +396,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that leak no item."""
+    for items in item_blocks(benchmark):
+        docs = _keep(docs, items)
+    return docs
+
+
+def _keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     r = retrieval(docs, benchmark)
     if r is None:
         return docs

@@ -12,7 +12,7 @@ when checksum and context words lift their score to THRESHOLD.
 
 Defined results: null text counts as empty and has no span; an empty table gives an
 empty table; repeated rows are reported once each; other columns of the input are
-ignored, whatever their names.
+ignored, whatever their names. Very long texts are searched whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@
 Labels, language, source and id are never inputs of a score. Defined results: null text
 counts as empty; empty texts have all statistics zero and a score like any other; rows
 with a null id are scored but never learned from; repeated rows are scored once each;
-without labelled rows of both classes every score is the mean label (0.5 if there is none).
+without labelled rows of both classes every score is the mean label (0.5 if there is none);
+very long texts are measured whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -69,5 +69,38 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.
 """
 
 
+#: Equal payloads by window; base32 of the SHA-1 by five hexadecimal digits at a time.
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+), h AS (SELECT *, sha1(payload) AS sha FROM p
+), d AS (SELECT *, list_transform(range(0, 8), lambda j: list_reduce(list_transform(range(1, 6), lambda k: (strpos('0123456789abcdef', substr(sha, 5 * j + k, 1)) - 1)::BIGINT), lambda a, b: a * 16 + b)) AS fives FROM h)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(fives, lambda v: list_aggregate(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31)::INT + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+"""
+
+#: Bytes as hexadecimal digits: every 50-byte string, the smallest id that holds it, the bytes it covers elsewhere, and what is left.
+OP10_SQL = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT doc_id, i, substr(h, (2 * i + 1)::BIGINT, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM t)
+), m AS (SELECT g, min(doc_id) AS low FROM s GROUP BY g HAVING count(*) > 1
+), c AS (SELECT s.doc_id, s.i FROM s JOIN m ON s.g = m.g AND m.low < s.doc_id
+), o AS (SELECT *, i > max(i + 49) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS apart FROM c
+), r AS (SELECT *, sum(CASE WHEN apart IS NULL OR apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o
+), runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, run
+), kept AS (
+  SELECT t.doc_id, runs.run, substr(t.h, (2 * coalesce(lag(runs.z) OVER w, 0) + 1)::BIGINT, (2 * (runs.a - coalesce(lag(runs.z) OVER w, 0)))::BIGINT) AS piece FROM t JOIN runs ON runs.doc_id = t.doc_id WINDOW w AS (PARTITION BY t.doc_id ORDER BY runs.run)
+), ends AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS z FROM runs GROUP BY doc_id
+), texts AS (SELECT doc_id, string_agg(piece, '' ORDER BY run) AS front FROM kept GROUP BY doc_id)
+SELECT t.doc_id, (len(t.h) // 2)::BIGINT AS n_bytes, coalesce(e.n_removed, 0) AS n_removed, coalesce(e.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(x.front, '') || substr(t.h, (2 * coalesce(e.z, 0) + 1)::BIGINT))) AS kept_sha256
+FROM t LEFT JOIN ends e ON e.doc_id = t.doc_id LEFT JOIN texts x ON x.doc_id = t.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": OP3_SQL}
+    return {"op3_near_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op10_substring_dedup": OP10_SQL}

@@ -17,7 +17,8 @@ others weigh nothing. The fitted weights, bounded by ACTIVE terms, go to every t
 Labels, language, source and id are never inputs of a score. Defined results: null and
 empty texts have no terms and score as the bias alone; rows with a null id are scored
 but never learned from; repeated rows are scored once each; without labelled rows of
-both classes every score is the mean label (0 if there is none).
+both classes every score is the mean label (0 if there is none); very long texts are read whole;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -413,6 +414,33 @@ def test_leaks_of_more_items_than_the_basis_has_directions(spark):
     assert found == {(i, i) for i in range(400)}
 
 
+def test_benchmark_in_several_blocks(spark, monkeypatch):
+    """A benchmark too large for one task, clashing ids and columns, repeated rows, a very long text."""
+    rng = random.Random(77)
+    items = [(i, words(rng, 30)) for i in range(60)] + [(3, words(rng, 30)), (5, None)]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    texts = [(i, f"{words(rng, 40)} {items[i][1]} {words(rng, 40)}") for i in range(0, 60, 7)]
+    texts += [texts[0], (500, " ".join(words(rng, 500) for _ in range(60)) + " " + items[11][1]), (501, words(rng, 80)), (502, None), (None, items[1][1])]
+    want = {(i, i) for i in range(0, 60, 7)} | {(500, 11)}
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2500)
+    docs = documents(spark, texts)
+    assert len(decontaminate.item_blocks(bench)) > 2
+    found = [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert {r.doc_id for r in decontaminate.keep(docs, bench).collect()} == {501, 502}  # a leak without an id goes too
+
+
+def test_stutters_of_long_texts():
+    """A line fails by the share of words that repeat the one before them; long texts take no longer than their length."""
+    lines = ["so so so so so so", "one two three four five six.", "a b", "go go"] * 3
+    text = "\n".join(lines)
+    row = quality_rules.judge([text.encode()])[0]
+    assert b"so so" not in row["clean"] and b"one two three" in row["clean"]
+    began = time.perf_counter()
+    quality_rules.judge([b"\n".join(b"w w w w w%d" % i for i in range(200_000))])
+    assert time.perf_counter() - began < 30
+
+
 def test_basis_is_fitted_on_all_passages(spark):
     rng = random.Random(12)
     lexicon = [words(rng, 1) for _ in range(150)]
