@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.curves import encode
 from gridloom.functions.geometry import cols
+from gridloom.operators.keyed import ranked
 
 
 def _both(old: DataFrame, new: DataFrame, id: str, coords: Sequence[str]) -> DataFrame:
@@ -55,6 +56,11 @@ def repeated_codes(points: DataFrame, coords: Sequence[str], curve: str = "morto
 
 def split_workload(batch: DataFrame, id: str, bias: int, share: float = 0.1, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(inserts with ids moved by bias, deletes): the first share of the rows by order, and the rest."""
-    order = order or id
-    cut = batch.agg(F.percentile_approx(order, share, 1_000_000)).first()[0]
-    return batch.where(F.col(order) <= cut).withColumn(id, F.col(id) + bias), batch.where(F.col(order) > cut)
+    place = ranked(batch, [order, id] if order and order != id else [id], "_place")
+    first = F.col("_place") < int(batch.count() * share)
+    return place.where(first).drop("_place").withColumn(id, F.col(id) + bias), place.where(~first).drop("_place")
+
+
+def merge_ordered(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Two lists in order as one: a range partitioning, so that no task holds both."""
+    return a.unionByName(b).repartitionByRange(*key).sortWithinPartitions(*key)

@@ -1,7 +1,8 @@
 """Point sets that follow a stream of updates, a micro-batch at a time.
 
-The state is a Parquet table of versions; each batch writes the next version and then the
-pointer to it, so a batch that is repeated after a failure writes the same version again.
+The state is a Parquet table in versions, named by the number of the batch that wrote them; a
+version counts once its success mark is there. A batch that is repeated after a failure writes the
+same version again, from the one before it. The last KEEP versions stay.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Versions that stay.
+KEEP = 3
+
+
 def version(path: str, batch: int) -> str:
     return f"{path}/v={batch}"
 
@@ -25,6 +30,9 @@ def follow(updates: DataFrame, path: str, id: str, coords: Sequence[str], checkp
         state = spark.read.parquet(version(path, number - 1)) if number else empty
         new = last.where("u.op = 'insert'").select(id, *[F.col("u")[c].alias(c) for c in coords])
         state.select(id, *coords).join(last.select(id), id, "left_anti").unionByName(new).write.mode("overwrite").parquet(version(path, number))
+        if number >= KEEP:  # a batch that is run again needs the version before it, readers the newest; older ones go
+            old = spark._jvm.org.apache.hadoop.fs.Path(version(path, number - KEEP))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return updates.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
