@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -80,6 +81,27 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def one_thread() -> None:
+    """To be called in tasks that multiply matrices: a machine's cores are shared out as tasks already, and threads of BLAS that wait for work take theirs."""
+    if _THREADS:
+        return
+    _THREADS.append(1)
+    try:
+        with open("/proc/self/maps") as maps:
+            paths = {line.split()[-1] for line in maps if "openblas" in line and ".so" in line}
+    except OSError:
+        return  # no such file on this system: nothing but time is lost
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
+_THREADS: list[int] = []
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """A string column as bytes objects, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

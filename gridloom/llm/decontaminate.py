@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, batches, chunks, raw, small_batches
+from gridloom.llm.common import Words, batches, chunks, one_thread, raw, small_batches
 
 BUCKETS_LOG2 = 18
 BLOCK = 24
@@ -338,6 +338,7 @@ def retrieval(docs: DataFrame, benchmark: DataFrame) -> Retrieval | None:
     shared = docs.sparkSession.sparkContext.broadcast((r, omega))
 
     def sketched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         own, w = shared.value
         square = len(w) <= SQUARE
         total, n = np.zeros((len(w), len(w) if square else w.shape[1]), np.float32), 0
@@ -383,6 +384,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(r)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         own = shared.value
         for b in batches(it):
             ids, texts = b.column(0).to_pylist(), raw(b.column(1))
@@ -408,6 +410,7 @@ def _keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(r), docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for b in batches(it):
             texts, clean = raw(b.column(at)), np.ones(b.num_rows, bool)
             for a, z in chunks(texts):
