@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import STEP, batches, discard, materialize, raw, small_batches
+from gridloom.llm.common import STEP, batches, discard, materialize, one_thread, raw, small_batches
 from gridloom.llm.near_dedup import shingle_sets
 
 BUCKETS = 1 << 20
@@ -185,6 +185,7 @@ def paired(sample: DataFrame, frequent: np.ndarray, y_rate: float) -> np.ndarray
     two = [(i, j) for i in range(blocks) for j in range(i, blocks)]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for b in batches(it):
             for k in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(pair_terms(*shared.value, d, *two[k]).astype(np.int32))], ["t"])
