@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir), gets all that its predecessor kept and
 returns documents with their columns; the last returns the packed pieces.
+
+Defined results: a null text counts as empty in every stage and stays null; rows with null ids are never copies or
+leaks of an id and stay, unless their text is rejected; of rows that repeat an id the second stage keeps that with the
+smallest text; very long texts are read whole; empty tables hand on empty tables; other columns, whatever their
+names, are handed on as they are.
 """
 
 from __future__ import annotations
