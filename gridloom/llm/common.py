@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -100,6 +100,15 @@ def one_thread() -> None:
 
 
 _THREADS: list[int] = []
+#: What a worker remembers between tasks, by operator.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def forget(but: str = "") -> None:
+    """To be called in tasks that need memory of their own: workers are used again, and what other operators remember in them goes."""
+    for owner, clear in CACHES.items():
+        if owner != but:
+            clear()
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, batches, chunks, one_thread, raw, small_batches
+from gridloom.llm.common import Words, batches, chunks, forget, one_thread, raw, small_batches
 
 BUCKETS_LOG2 = 18
 BLOCK = 24
@@ -339,6 +339,7 @@ def retrieval(docs: DataFrame, benchmark: DataFrame) -> Retrieval | None:
 
     def sketched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        forget()
         own, w = shared.value
         square = len(w) <= SQUARE
         total, n = np.zeros((len(w), len(w) if square else w.shape[1]), np.float32), 0
@@ -385,6 +386,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        forget()
         own = shared.value
         for b in batches(it):
             ids, texts = b.column(0).to_pylist(), raw(b.column(1))
@@ -411,6 +413,7 @@ def _keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        forget()
         for b in batches(it):
             texts, clean = raw(b.column(at)), np.ones(b.num_rows, bool)
             for a, z in chunks(texts):

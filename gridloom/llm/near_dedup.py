@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, batches, chunks, discard, group_ranges, materialize, mix, raw, small_batches, whole_groups, windows
+from gridloom.llm.common import Words, batches, chunks, discard, forget, group_ranges, materialize, mix, raw, small_batches, whole_groups, windows
 
 SHINGLE = 5
 PERCENT = 75
@@ -106,6 +106,7 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 
 def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches(it):
         sets = shingle_sets(raw(b.column(1)))
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -123,6 +124,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _similar(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block, the members that an estimate puts near a member of another component."""
+    forget()
     for t in whole_groups(it, 3):
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(t.num_rows, BITS, K // 64)
         comp, side = (t.column(c).to_numpy() for c in ("component", "side"))
@@ -150,6 +152,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block, what its full sets join: every group of ids with a link is emitted as a tree."""
+    forget()
     for t in whole_groups(it, 3):
         a, b = [], []
         ids, comp, side = (t.column(c).to_numpy() for c in ("id", "component", "side"))
@@ -199,6 +202,7 @@ def _trees(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.nd
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches(it):
         sets = [s.tobytes() for s in shingle_sets(raw(b.column(0)))]
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["digest", "set"])
@@ -213,27 +217,34 @@ def _search(split: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
     rows = split.select(*block, "side", "id", "digest", "component")
     signs = signed.select("id", "digest", "sig").hint("merge")
     near = materialize(rows.join(signs, ["id", "digest"]).select(*rows.columns, "sig").repartition(*block).sortWithinPartitions(*block).mapInArrow(_similar, fields))
+    found = near.count()
     ids = near.select("id").distinct().hint("merge")
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "id", "left_semi").select("text").distinct()
-    sets = materialize(texts.mapInArrow(_sets, "digest binary, set binary").dropDuplicates(["digest"]))
+    sets = materialize(texts.mapInArrow(_sets, "digest binary, set binary").dropDuplicates(["digest"]).coalesce(_tasks(found, 2000)))
     full = near.join(sets.hint("merge"), "digest").select(*block, "side", "id", "component", "set")
-    out = materialize(full.repartition(*block).sortWithinPartitions(*block).mapInArrow(_joined, "a long, b long").distinct())
+    out = materialize(full.repartition(*block).sortWithinPartitions(*block).mapInArrow(_joined, "a long, b long").distinct().coalesce(_tasks(found, 50_000)))
     discard(near)
     discard(sets)
     return out
 
 
+def _tasks(rows: int, each: int) -> int:
+    """Tasks for tables whose size is known to be small: a few full files in place of many nearly empty ones."""
+    return max(1, -(-rows // each))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b), for every id in a link.
 
     Labels fall to the smallest of the neighbours', then to the label of that label, until none changes."""
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"))
+    n = _tasks(2 * links.count(), 250_000)
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(n))
+    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label").coalesce(n))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = materialize(step.join(up.hint("merge"), "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
+        new = materialize(step.join(up.hint("merge"), "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label")).coalesce(n))
         changed = new.where("old <> label").limit(1).count()
         discard(labels)
         labels = new
@@ -262,13 +273,14 @@ def links(docs: DataFrame, sketched: DataFrame, reps: DataFrame) -> tuple[DataFr
 
     reps: (digest, id) per class of equal sets. An id with several texts has the links of each."""
     signed = sketched.select("digest", F.col("doc_id").alias("id"), "n_shingles", "sig", "keys").join(reps.hint("merge"), ["digest", "id"])
-    signed = materialize(signed.dropDuplicates(["digest", "id"]))
+    n_docs = sketched.count()
+    signed = materialize(signed.dropDuplicates(["digest", "id"]).coalesce(_tasks(n_docs, 10_000)))
     rows = signed.select("id", "digest", "n_shingles", F.posexplode("keys").alias("band", "key")).withColumn("key", F.xxhash64("band", "key"))
     # Buckets of the same members say the same: one of them is enough.
     who = F.xxhash64("id", "digest")
     buckets = rows.groupBy("key").agg(F.count("id").alias("n"), F.sum("n_shingles").alias("shingles"), F.bit_xor(who).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64(who), 24)).alias("y")).where("n > 1")
     buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("key", "shingles")).alias("m")).select("m.key", "n", "m.shingles")
-    members = materialize(rows.select("key", "id", "digest", "n_shingles").join(buckets.hint("merge"), "key"))
+    members = materialize(rows.select("key", "id", "digest", "n_shingles").join(buckets.hint("merge"), "key").coalesce(_tasks(n_docs, 10_000)))
     # First contract: each class meets others in its fullest buckets, in one block of each.
     full = members.groupBy("id", "digest").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "key", "shingles")), asc=False), 1, FIRST).alias("m"))
     first = full.select("id", "digest", F.col("id").alias("component"), F.explode("m").alias("m")).select("id", "digest", "component", "m.*")
@@ -277,7 +289,7 @@ def links(docs: DataFrame, sketched: DataFrame, reps: DataFrame) -> tuple[DataFr
     joined = components(found)
     # Then all pairs of a bucket that lie in different components: the bucket's largest component against the
     # others, block by block, and the others among themselves.
-    labelled = materialize(members.select("key", "id", "digest", "n_shingles").join(joined.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    labelled = materialize(members.select("key", "id", "digest", "n_shingles").join(joined.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")).coalesce(_tasks(n_docs, 10_000)))
     parts = labelled.groupBy("key", "component").agg(F.count("id").alias("n"), F.sum("n_shingles").alias("shingles"))
     open_ = parts.groupBy("key").agg(F.max(F.struct("n", "component", "shingles")).alias("top"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("key").alias("parts")).where("parts > 1")
     open_ = open_.select("key", F.col("top.component").alias("largest"), _blocks(F.col("top.n"), F.col("top.shingles")).alias("bl"), _blocks(F.col("n") - F.col("top.n"), F.col("shingles") - F.col("top.shingles")).alias("bo"))
@@ -299,7 +311,8 @@ def links(docs: DataFrame, sketched: DataFrame, reps: DataFrame) -> tuple[DataFr
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     sketched = materialize(sketch(docs))
-    reps = materialize(sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id")))
+    reps = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    reps = materialize(reps.coalesce(_tasks(sketched.count(), 50_000)))
     _, joined = links(docs, sketched, reps)
     named = reps.join(joined.hint("merge"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     rows = sketched.select("doc_id", "n_shingles", "digest")
@@ -312,7 +325,7 @@ def keep(docs: DataFrame) -> DataFrame:
 
     Of rows with one id that with the smallest text stays, of equal texts that with the smallest hash of the other columns."""
     ids = dedup(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    ids = materialize(ids)
+    ids = materialize(ids.coalesce(_tasks(docs.count(), 50_000)))
     once = docs.join(ids.where("n = 1").hint("merge"), "doc_id", "left_semi")
     again = docs.join(ids.where("n > 1").hint("merge"), "doc_id", "left_semi")
     row = F.struct(*[F.col(c) for c in docs.columns])

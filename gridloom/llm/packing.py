@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches, discard, materialize, small_batches
+from gridloom.llm.common import CACHES, batches, discard, materialize, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -77,7 +77,7 @@ class Encoder:
     This tokenizer encodes each word of its normalized text by itself, and a word's last token
     is marked, so each word is encoded once, many in one call, and remembered."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 19
     TOGETHER = 4000
 
     def __init__(self, path: str):
@@ -137,6 +137,9 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
+CACHES["packing"] = encoder.cache_clear
+
+
 def _pieces(capacity: int, end_id: int, tokenizer: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = encoder(tokenizer), np.zeros(capacity + 1, np.int64)

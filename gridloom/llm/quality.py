@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, batches, chunks, discard, materialize, one_thread, raw, small_batches, windows
+from gridloom.llm.common import Words, batches, chunks, discard, forget, materialize, one_thread, raw, small_batches, windows
 
 DIM = 256
 #: Kernel width in units of the square root of the number of statistics.
@@ -94,6 +94,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        forget()
         for b in batches(it):
             x = statistics(raw(b.column(1)))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().astype(np.float32)))
@@ -134,6 +135,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 def _sums(model: Model):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        forget()
         total = np.zeros((2, DIM, DIM + 1))
         for b in batches(it):
             z, y, fold = model.lift(matrix(b.column(0))), np.asarray(b.column(1)), np.asarray(b.column(2))
@@ -191,6 +193,7 @@ def fit(x: DataFrame, labels: DataFrame, train: Column) -> Model:
 
     def binned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        forget()
         for b in batches(it):
             z, fold = model.lift(matrix(b.column(0))), np.asarray(b.column(2))
             s = np.where(fold == 0, z @ model.weights[2], z @ model.weights[1])
@@ -210,6 +213,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        forget()
         for b in batches(it):
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(model.score(matrix(b.column(1))))})
 
@@ -225,6 +229,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        forget()
         for b in batches(it):
             yield b.filter(pa.array(model.score(statistics(raw(b.column(at)))) >= 0.5))
 
